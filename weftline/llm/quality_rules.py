@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP, ACCURACY = 200, 1000
 SPREADS = 8.0
 #: Least distance from the median to the quartile that counts, for each measure.
-FLOORS = {"_q_symbols": 0.01, "_q_dup_lines": 0.03, "_q_repeats": 0.03, "_q_length": 0.4}
+FLOORS = {"_q_symbols": 0.01, "_q_dup_lines": 0.08, "_q_repeats": 0.05, "_q_length": 0.4}
 #: White space of the word pattern, and signs that count as symbols.
 BLANKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 

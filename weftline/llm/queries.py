@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, token_counts, token_store, warc
+from . import decontaminate, packing, personal_data, quality_rules, sharding, token_counts, token_store, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,18 +32,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of all documents."""
+    return quality_rules.rate(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards of equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op7_warc, op9_sharding)}
+    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
