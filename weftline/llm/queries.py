@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, personal_data, quality_rules, sharding, token_counts, token_store, warc
+from . import decontaminate, jaccard_join, packing, personal_data, quality_rules, sharding, token_counts, token_store, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word shingles are 85 % alike."""
+    found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of all documents."""
     return quality_rules.rate(table(spark, sf_dir, "documents"))
@@ -53,7 +59,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding)}
+    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op5_jaccard_join, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
