@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, personal_data, quality_rules, sharding, token_counts, token_store, warc
+from . import decontaminate, jaccard_join, line_crf, packing, personal_data, quality_rules, sharding, token_counts, token_store, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents from their lines' marginals."""
+    return line_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op5_jaccard_join, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding)}
+    return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op5_jaccard_join, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
