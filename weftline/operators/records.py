@@ -122,7 +122,8 @@ def steal(df: DataFrame, urgent: Column, limit: int = STEAL_LIMIT) -> DataFrame:
 
 def page_after(df: DataFrame, key: list[str], after: tuple, limit: int) -> DataFrame:
     """The next page of a keyset scan."""
-    return df.where(F.struct(*key) > F.struct(*(F.lit(x) for x in after))).orderBy(*key).limit(limit)
+    last = F.struct(*(F.lit(x).cast(df.schema[k].dataType).alias(k) for k, x in zip(key, after, strict=True)))
+    return df.where(F.struct(*key) > last).orderBy(*key).limit(limit)
 
 
 def set_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:

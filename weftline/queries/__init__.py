@@ -1,3 +1,3 @@
 """All registered queries of the engine."""
 
-from . import compose, scheduling  # noqa: F401
+from . import compose, composites, payloads, records, scheduling, streams  # noqa: F401
