@@ -35,7 +35,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose 4-word shingles are 85 % alike."""
     found = jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
-    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", "copies")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
