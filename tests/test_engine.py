@@ -122,3 +122,37 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_serializers_validate():
+    from dataclasses import dataclass
+
+    from weftline.functions.serializers import DATACLASS, Registry, Serializer, ValidationError
+
+    @dataclass
+    class Inner:
+        note: str | None = None
+
+    @dataclass
+    class Order:
+        quantity: int
+        price: float
+        inner: list[Inner]
+        tags: dict[str, int]
+
+    globals()["Inner"] = Inner
+    value = Order(2, 1.5, [Inner("x"), Inner()], {"b": 1, "a": 2})
+    data = DATACLASS.encode(value)
+    assert data == b'{"inner":[{"note":"x"},{"note":null}],"price":1.5,"quantity":2,"tags":{"a":2,"b":1}}'
+    Order.__annotations__ = {"quantity": int, "price": float, "inner": list[Inner], "tags": dict[str, int]}
+    assert DATACLASS.decode(data, Order) == value
+    for bad in (b'{"quantity":true,"price":1,"inner":[],"tags":{}}', b'{"price":1,"inner":[],"tags":{}}', b'{"quantity":1,"price":1,"inner":[],"tags":{},"x":1}', b"[]"):
+        with pytest.raises(ValidationError):
+            DATACLASS.decode(bad, Order)
+    with pytest.raises(ValueError):
+        DATACLASS.encode(Order(1, float("nan"), [], {}))
+    registry = Registry()
+    registry.add(Serializer("text", lambda t: t is str, str.encode, lambda d, t: d.decode()))
+    assert registry.of(Order).name == "dataclass" and registry.of(str).encode("é") == "é".encode()
+    with pytest.raises(TypeError):
+        registry.of(int)

@@ -182,3 +182,10 @@ def apply_reports(recorded: DataFrame, reports: DataFrame, asked_ms: int, in_fli
         .otherwise("ignored")
     )
     return both.select("run_id", "worker", verdict.alias("verdict"))
+
+
+def backlog(df: DataFrame, key: str, order: list[str], refused: Column) -> DataFrame:
+    """Buffered submissions that go through in order: a key's later ones wait behind one that is refused; those without a key don't wait."""
+    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    stopped = df.where(F.col(key).isNotNull()).withColumn("_stop", F.sum(refused.cast("bigint")).over(w)).where("_stop = 0").drop("_stop")
+    return stopped.unionByName(df.where(F.col(key).isNull() & ~refused))

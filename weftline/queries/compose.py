@@ -233,3 +233,15 @@ def reduce_after_map(spark, sf_dir):
 def run_attempts(spark, sf_dir):
     """Attempts of each task."""
     return runs(spark, sf_dir).groupBy("task_id").agg(F.max("attempt").alias("attempts"), F.count_if(F.col("state").isin("failed", "lost")).alias("ended_badly"))
+
+
+@query("A20", "A11", sql="""
+SELECT event_id, CASE event_type WHEN 'view' THEN '{"r":{"s0":"VIEW","s1":4}}' WHEN 'click' THEN '{"r":{"m0":"CLICK","m1":"kcilc"}}' WHEN 'error' THEN '{"r":9}' END AS result FROM events""")
+def continuations(spark, sf_dir):
+    """Bodies that return a flow, a group or a bound task, which runs next."""
+    from weftline.plans.continuation import continued
+    from weftline.plans.tree import Task, flow, group
+
+    shout, size, back = Task(F.upper), Task(F.length), Task(F.reverse)
+    plans = {"view": flow(shout, size), "click": group(shout, back), "error": Task(lambda c: c + 2).bind(7)}
+    return continued(table(spark, sf_dir, "events"), F.col("event_type"), plans, "event_type").select("event_id", "result")

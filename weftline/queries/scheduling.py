@@ -244,3 +244,12 @@ def looks_claimable(spark, sf_dir):
     """Records that look claimable."""
     newest = sched.newest_run(runs(spark, sf_dir)).select("task_id", "state")
     return sched.claimable(tasks(spark, sf_dir).join(newest, "task_id"), NOW_MS - 15 * DAY).select("task_id")
+
+
+@query("B31", sql=with_tables("tasks", """
+SELECT task_id FROM (SELECT task_id, k, refused, sum(refused::BIGINT) OVER (PARTITION BY k ORDER BY submitted_ms, ticket ROWS UNBOUNDED PRECEDING) AS stop
+  FROM (SELECT *, CASE WHEN task_id % 10 <> 0 THEN coalescing_key END AS k, bytes > 1080 AS refused FROM tasks)) WHERE (k IS NOT NULL AND stop = 0) OR (k IS NULL AND NOT refused)"""))
+def backlog_order(spark, sf_dir):
+    """Submissions buffered before there was a leader, in order within each key."""
+    df = tasks(spark, sf_dir).withColumn("k", F.when(F.col("task_id") % 10 != 0, F.col("coalescing_key")))
+    return sched.backlog(df, "k", ["submitted_ms", "ticket"], F.col("bytes") > 1080).select("task_id")

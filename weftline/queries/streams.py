@@ -21,7 +21,7 @@ def _checkpoint(spark, name):
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
-@query("A18", "F4", "F9", "B31", sql=with_tables("tasks", """
+@query("A18", "F4", "F9", sql=with_tables("tasks", """
 SELECT coalescing_key AS key, max(submitted_ms * 1000) // 1000 AS at, count(*) - 1 AS absorbed, sum(amount)::BIGINT AS payload FROM tasks GROUP BY coalescing_key"""))
 def stream_coalesce(spark, sf_dir):
     """The live coalescer over the event stream ends where the batch form does."""
