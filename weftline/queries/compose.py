@@ -99,6 +99,15 @@ def map_ordered(spark, sf_dir):
     return out.select("doc_id", F.array_join("result", " ").alias("result"))
 
 
+@query("A6", sql="""
+SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: reverse(w) || length(w)), ' ') AS result FROM documents WHERE text IS NOT NULL""")
+def map_ordered_whole(spark, sf_dir):
+    """map_ordered over every item of the whole text, however long its list."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("items"))
+    out = compose.map_items(docs, "items", lambda w: F.concat(F.reverse(w), F.length(w).cast("string")))
+    return out.select("doc_id", F.array_join("result", " ").alias("result"))
+
+
 @query("A12", "F5", sql="""
 SELECT doc_id, idx - 1 AS idx, line, length(line) AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents)""")
 def map_expand(spark, sf_dir):
