@@ -1,7 +1,9 @@
 """Queries over whole inputs, against brute force over the same tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from weftline.operators import composites
 from weftline.registry import QUERIES
 
 
@@ -14,3 +16,22 @@ def test_map_keeps_every_item(spark, sf, texts):
     got = {r["doc_id"]: r["result"] for r in QUERIES["map_ordered_whole"].build(spark, sf).collect()}
     assert max(t.count(" ") for t in texts.values()) > 8
     assert got == {d: " ".join(w[::-1] + str(len(w)) for w in t.split(" ")) for d, t in texts.items()}
+
+
+def test_tree_keeps_every_line_and_word(spark, sf, texts):
+    rows = QUERIES["tree_flatten_whole"].build(spark, sf).where("depth = 2").collect()
+    leaves: dict = {}
+    for r in sorted(rows, key=lambda r: r["path"]):
+        leaves.setdefault(r["doc_id"], []).append(r["value"])
+    assert leaves == {d: [w for line in t.split("\n") for w in line.split(" ")] for d, t in texts.items()}
+    got = {r["doc_id"]: r["nested"] for r in QUERIES["tree_resolve_whole"].build(spark, sf).collect()}
+    assert got == {d: t.replace("\n", "|").replace(" ", "+") for d, t in texts.items()}
+
+
+def test_paths_of_a_million_items_stay_apart_and_in_order(spark):
+    n = 1_000_003
+    df = spark.range(1).select(F.col("id").alias("k"), F.array(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
+    leaves = composites.flatten_tree(df, "t", "k").where("depth = 2")
+    assert leaves.select("path").distinct().count() == n
+    last = leaves.orderBy(F.desc("path")).select("value").limit(5).collect()
+    assert [r["value"] for r in last] == [str(n - 1 - k) for k in range(5)]

@@ -101,12 +101,17 @@ def cancel(tasks: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 32
     return live.withColumns({"answer": answer, "was_running": (F.col("state") == "running")})
 
 
+def _step(i: str) -> Column:
+    """An index as a part of a path: six digits, from a million on ~ and ten, which sorts after them."""
+    return F.when(F.col(i) < 1_000_000, F.lpad(F.col(i).cast("string"), 6, "0")).otherwise(F.concat(F.lit("~"), F.lpad(F.col(i).cast("string"), 10, "0")))
+
+
 def flatten_tree(df: DataFrame, nested: str, key: str) -> DataFrame:
-    """array<array<x>> in preorder: a row for each node with its path, depth and kind."""
+    """array<array<x>> in preorder: a row for each node with its path, depth and kind; paths sort in preorder."""
     head = df.select(key, F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("value"))
     one = df.select(key, F.posexplode(nested).alias("i", "inner"))
-    lists = one.select(key, F.lpad("i", 6, "0").alias("path"), F.lit(1).alias("depth"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("value"))
-    leaves = one.select(key, "i", F.posexplode("inner").alias("j", "v")).select(key, F.concat(F.lpad("i", 6, "0"), F.lit("."), F.lpad("j", 6, "0")).alias("path"), F.lit(2).alias("depth"), F.lit("value").alias("kind"), F.col("v").cast("string").alias("value"))
+    lists = one.select(key, _step("i").alias("path"), F.lit(1).alias("depth"), F.lit("list").alias("kind"), F.lit(None).cast("string").alias("value"))
+    leaves = one.select(key, "i", F.posexplode("inner").alias("j", "v")).select(key, F.concat(_step("i"), F.lit("."), _step("j")).alias("path"), F.lit(2).alias("depth"), F.lit("value").alias("kind"), F.col("v").cast("string").alias("value"))
     return head.unionByName(lists).unionByName(leaves)
 
 

@@ -102,6 +102,31 @@ def tree_resolve(spark, sf_dir):
     return nested.select("doc_id", F.array_join(F.transform("nested", lambda x: F.array_join(x, "+")), "|").alias("nested"))
 
 
+def _sql_step(i: str) -> str:
+    return f"CASE WHEN {i} < 1000000 THEN lpad(({i})::VARCHAR, 6, '0') ELSE '~' || lpad(({i})::VARCHAR, 10, '0') END"
+
+
+@query("C10", "E10", sql=f"""
+WITH n AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')) AS t FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM n),
+v AS (SELECT doc_id, i, unnest(t[i]) AS value, unnest(generate_series(1, len(t[i]))) AS j FROM o)
+SELECT doc_id, '' AS path, 0 AS depth, 'list' AS kind, NULL::VARCHAR AS value FROM n
+UNION ALL SELECT doc_id, {_sql_step("i - 1")}, 1, 'list', NULL FROM o
+UNION ALL SELECT doc_id, ({_sql_step("i - 1")}) || '.' || ({_sql_step("j - 1")}), 2, 'value', value FROM v""")
+def tree_flatten_whole(spark, sf_dir):
+    """tree_flatten over every line and word of the whole text."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
+    return comp.flatten_tree(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lines.alias("t")), "t", "doc_id")
+
+
+@query("C10", "E10", sql="""
+SELECT doc_id, array_to_string(list_transform(list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')), lambda x: array_to_string(x, '+')), '|') AS nested FROM documents WHERE text IS NOT NULL""")
+def tree_resolve_whole(spark, sf_dir):
+    """tree_resolve over every line and word of the whole text."""
+    nested = comp.unflatten_tree(tree_flatten_whole(spark, sf_dir), "doc_id")
+    return nested.select("doc_id", F.array_join(F.transform("nested", lambda x: F.array_join(x, "+")), "|").alias("nested"))
+
+
 @query("C11", sql="""
 SELECT composite_id, idx, sha256('6:member' || length(composite_id::VARCHAR) || ':' || composite_id || length(idx::VARCHAR) || ':' || idx) AS child FROM (
   SELECT o_custkey AS composite_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders)""")
