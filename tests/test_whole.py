@@ -1,10 +1,13 @@
 """Queries over whole inputs, against brute force over the same tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import composites
 from weftline.registry import QUERIES
+from weftline.sources import fixtures
 
 
 @pytest.fixture
@@ -35,3 +38,29 @@ def test_paths_of_a_million_items_stay_apart_and_in_order(spark):
     assert leaves.select("path").distinct().count() == n
     last = leaves.orderBy(F.desc("path")).select("value").limit(5).collect()
     assert [r["value"] for r in last] == [str(n - 1 - k) for k in range(5)]
+
+
+def test_no_event_is_left_out_of_blobs_results_and_records(spark, sf):
+    tasks = {r["task_id"]: r for r in fixtures.tasks(spark, sf).select("task_id", "queue", "ticket", "amount", "bytes", "submitted_ms", "payload").collect()}
+    known, used, own, want = set(), {}, {}, {}
+    for t in sorted(tasks.values(), key=lambda t: t["ticket"]):
+        at, size, result = t["queue"], t["bytes"] * 300, t["task_id"] % 3 == 0
+        old = (at, t["amount"] % 500) in known
+        full = used.get(at, 0) + size > 9_000_000 or not result and own.get(at, 0) + size > 4_500_000
+        want[t["task_id"]] = "too_large" if size > 262144 else "wrong_key" if t["task_id"] % 41 == 0 else "store_full" if full and not old else "stored"
+        if not old:
+            known.add((at, t["amount"] % 500))
+            used[at] = used.get(at, 0) + size
+            own[at] = own.get(at, 0) + (0 if result else size)
+    assert {r["task_id"]: r["answer"] for r in QUERIES["blob_admission_whole"].build(spark, sf).collect()} == want
+
+    live = {k: hashlib.sha256(t["payload"].encode()).hexdigest() for k, t in tasks.items() if k % 5 == 0 or t["submitted_ms"] + 864_000_000 > fixtures.NOW_MS}
+    assert {r["task_id"]: r["digest"] for r in QUERIES["resume_results_whole"].build(spark, sf).collect()} == live
+
+    newest: dict = {}
+    for r in fixtures.reported(spark, sf).select("record_key", "report_id", "epoch", "revision", "holder").collect():
+        v, reach = (r["epoch"], r["revision"]), r["holder"] % 4 == 0 and r["report_id"] % 9 == 0
+        best = newest.get(r["record_key"], (False, (-1, -1)))
+        newest[r["record_key"]] = max(best, (reach, v))
+    got = {r["record_key"]: (r["reachable"], (r["epoch"], r["revision"])) for r in QUERIES["newest_reachable_whole"].build(spark, sf).collect()}
+    assert got == newest

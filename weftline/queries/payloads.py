@@ -89,6 +89,13 @@ def resume_results(spark, sf_dir):
     return payload.load(stored, NOW_MS).where("task_id % 7 = 3").where(F.sha2("payload", 256) == F.col("digest")).select("task_id", "digest")
 
 
+@query("E8", "A25", sql=with_tables("tasks", f"SELECT task_id, sha256(payload) AS digest FROM tasks WHERE task_id % 5 = 0 OR submitted_ms + 864000000 > {NOW_MS}"))
+def resume_results_whole(spark, sf_dir):
+    """resume_results for every retained result."""
+    stored = tasks(spark, sf_dir).select("task_id", "payload", F.sha2("payload", 256).alias("digest"), F.when(F.col("task_id") % 5 != 0, F.col("submitted_ms") + 864_000_000).alias("expires_ms"))
+    return payload.load(stored, NOW_MS).where(F.sha2("payload", 256) == F.col("digest")).select("task_id", "digest")
+
+
 @query("E9", sql=with_tables("runs", """
 , n AS (SELECT task_id, arg_max(state, attempt) AS state FROM runs WHERE task_id % 13 <> 0 GROUP BY task_id)
 SELECT task_id, CASE WHEN state IS NULL THEN 'unknown' WHEN state IN ('scheduled', 'queued', 'claimed', 'running') THEN 'unfinished' WHEN state = 'succeeded' AND task_id % 4 = 0 THEN 'continued'
@@ -169,3 +176,14 @@ def blob_admission(spark, sf_dir):
     """Which blobs a store with a share limit admits."""
     df = tasks(spark, sf_dir).where("task_id % 20 = 0").select(F.col("queue").alias("shard"), "ticket", "task_id", (F.col("amount") % 500).alias("digest"), (F.col("bytes") * 300).alias("size"), (F.col("task_id") % 3 == 0).alias("result"), (F.col("task_id") % 41 != 0).alias("right_key"))
     return payload.blob_admission(df, "ticket", 9_000_000).select("task_id", "answer")
+
+
+@query("E20", sql=with_tables("tasks", """
+, b AS (SELECT queue AS shard, ticket, task_id, amount % 500 AS digest, bytes * 300 AS size, task_id % 3 = 0 AS result, task_id % 41 <> 0 AS right_key FROM tasks),
+k AS (SELECT *, row_number() OVER (PARTITION BY shard, digest ORDER BY ticket) > 1 AS known FROM b),
+r AS (SELECT *, coalesce(sum(CASE WHEN NOT known THEN size ELSE 0 END) OVER w, 0) AS a, coalesce(sum(CASE WHEN NOT known AND NOT result THEN size ELSE 0 END) OVER w, 0) AS i FROM k WINDOW w AS (PARTITION BY shard ORDER BY ticket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT task_id, CASE WHEN size > 262144 THEN 'too_large' WHEN NOT right_key THEN 'wrong_key' WHEN known THEN 'stored' WHEN a + size > 9000000 THEN 'store_full' WHEN NOT result AND i + size > 4500000 THEN 'store_full' ELSE 'stored' END AS answer FROM r""").replace(") \n, b AS", "), b AS"))
+def blob_admission_whole(spark, sf_dir):
+    """blob_admission over every blob: all duplicates and the whole fill level count."""
+    df = tasks(spark, sf_dir).select(F.col("queue").alias("shard"), "ticket", "task_id", (F.col("amount") % 500).alias("digest"), (F.col("bytes") * 300).alias("size"), (F.col("task_id") % 3 == 0).alias("result"), (F.col("task_id") % 41 != 0).alias("right_key"))
+    return payload.blob_admission(df, "ticket", 9_000_000).select("task_id", "answer")

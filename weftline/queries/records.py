@@ -38,6 +38,14 @@ def newest_reachable(spark, sf_dir):
     return rec.newest_reachable(df, "record_key", ["epoch", "revision"], (F.col("holder") % 4 == 0) & (F.col("report_id") % 9 == 0))
 
 
+@query("D2", sql=with_tables("reported", """
+SELECT record_key, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) // 1000 AS epoch, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) % 1000 AS revision,
+       max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0) IS NOT NULL AS reachable FROM (SELECT *, epoch * 1000 + revision AS v FROM reported) GROUP BY record_key"""))
+def newest_reachable_whole(spark, sf_dir):
+    """newest_reachable over every report."""
+    return rec.newest_reachable(reported(spark, sf_dir), "record_key", ["epoch", "revision"], (F.col("holder") % 4 == 0) & (F.col("report_id") % 9 == 0))
+
+
 _PLACED = f"""
 , k AS (SELECT DISTINCT record_key FROM reported),
 p AS (SELECT record_key, worker, row_number() OVER (PARTITION BY record_key ORDER BY xor({_HASH.format('record_key')}, {_HASH.format('worker')}), worker) AS rank FROM k CROSS JOIN voters)"""
