@@ -9,7 +9,8 @@ document, whose rest is routed anew. Full windows have no padding; what is left
 of a task is cut along the tiers and only a rest below the shortest is padded.
 
 Each input task packs its own documents in blocks, so nothing is shuffled, memory is bounded
-by a block and a lost task is packed again alike. Sequences are dealt to step groups so that
+by a block and a lost task is packed again alike. Every block is packed by tiers; as gaps are
+closed from all shorter tiers, one window of a block at most stays open and joins the next. Sequences are dealt to step groups so that
 each group of GROUP windows of a tier has about the same attention cost.
 
 Defined results: null text counts as empty; every document has its end id, so an empty one
@@ -43,7 +44,7 @@ Piece = tuple[int, int, int]  # document, start, length
 
 
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
-    """(sequences as (tier, pieces), pieces left over). Without last, what fills no window is left over."""
+    """(sequences as (tier, pieces), pieces left over). Without last, the one window that nothing is left to fill is left over."""
     longest = tiers[-1]
     done: list[tuple[int, list[Piece]]] = []
     waiting: list[tuple[int, int, int]] = []  # (length, document, start), by length
@@ -53,11 +54,8 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool
         if n % longest:
             waiting.append((n % longest, d, whole * longest))
     waiting.sort()
-    left = sum(w[0] for w in waiting)
     while waiting:
         size = next(t for t in tiers if t >= waiting[-1][0])
-        if not last and size < longest <= left:
-            size = longest  # later blocks may bring longer documents; full windows are as good in any tier
         gap, pieces = size, []
         while gap and waiting:
             k = bisect_right(waiting, (gap, 1 << 62, 1 << 62)) - 1
@@ -70,7 +68,6 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool
                 pieces.append((d, s, gap))
                 insort(waiting, (n - gap, d, s + gap))
                 gap = 0
-        left -= size - gap
         if not gap:
             done.append((size, pieces))
         elif not last:
