@@ -50,26 +50,28 @@ def brute(texts, k, num, den):
     return [(i, len(sets[i]), root(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("seed,k,num,den,split", [(1, 4, 85, 100, 4096), (2, 5, 80, 100, 4096), (3, 4, 85, 100, 2), (4, 3, 50, 100, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, k, num, den, split):
-    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+@pytest.mark.parametrize("seed,k,num,den,task_bytes", [(1, 4, 85, 100, 1 << 24), (2, 5, 80, 100, 1 << 24), (4, 3, 50, 100, 1 << 24), (3, 4, 85, 100, 64), (4, 3, 50, 100, 600)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, k, num, den, task_bytes):
+    monkeypatch.setattr(jaccard_join, "TASK_BYTES", task_bytes)  # the last two: regions are divided by Spark jobs
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, class string").repartition(3)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(df, k, num, den).collect())
     assert got == brute(texts, k, num, den)
 
 
-def test_one_region_in_blocks_equals_brute_force(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+def test_one_region_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     for seed in range(8):
-        texts = corpus(100 + seed)
-        sets = jaccard_join.shingle_sets(texts, 4)
-        own = {jaccard_join.class_of(h)[0]: h for h in sets if len(h)}
-        ids = sorted(own)
-        root = jaccard_join.join_region(ids, [own[i] for i in ids], 85, 100)
-        want = brute(_one_each(texts, sets, ids), 4, 85, 100)
-        assert [root.index(r) for r in root] == [[w[2] for w in want].index(w[2]) for w in want]
+        for num in (85, 50):
+            texts = corpus(100 + seed)
+            sets = jaccard_join.shingle_sets(texts, 2)
+            own = {jaccard_join.class_of(h)[0]: h for h in sets if len(h)}
+            ids = sorted(own)
+            root = jaccard_join.join_region(ids, [own[i] for i in ids], num, 100)
+            want = brute(_one_each(texts, sets, ids), 2, num, 100)
+            assert [root.index(r) for r in root] == [[w[2] for w in want].index(w[2]) for w in want]
 
 
 def _one_each(texts, sets, ids):
@@ -77,17 +79,52 @@ def _one_each(texts, sets, ids):
     return [of[i] for i in ids]
 
 
-def test_signatures_lose_no_pair():
-    rng = np.random.default_rng(5)
-    for size in (7, 12, 13, 20, 50, 200, 700):
-        for _ in range(20):
-            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-            cut = rng.integers(0, max(1, int(0.15 * len(a))) + 1)
-            b = np.sort(a[cut:] if rng.random() < 0.5 else np.concatenate([a[cut:], rng.integers(0, 1 << 63, max(0, int(0.15 * len(a)) - cut)).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) != both:
-                sig, of = jaccard_join.signatures([a, b], jaccard_join.Buckets(85, 100))
-                assert set(sig[of == 0]) & set(sig[of == 1])
+def mutated(rng, words, n):
+    own = list(words)
+    for _ in range(n):
+        own[rng.randrange(len(own))] = f"m{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+def test_common_shingles_and_small_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 500)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))  # more than COMMON hold it
+    base = [f"b{i}" for i in range(60)]
+    texts = [mutated(rng, base, rng.randrange(3)) for _ in range(40)]  # a chain of near copies
+    texts += [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    texts += [passage] * 30 + [f"{passage} one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(df, 4, 85, 100).collect())
+    assert got == brute(texts, 4, 85, 100)
+
+
+def test_sets_of_one_shingle_link(spark):
+    df = spark.createDataFrame([(0, "one two three"), (1, "one two three four"), (2, "five")], "doc_id bigint, text string")
+    assert sorted(r["component_id"] for r in jaccard_join.similarity_classes(df, 3, 50, 100).collect()) == [0, 0, 2]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    texts = [" ".join(long), mutated(rng, long, 900), " ".join(long[:30_000]), "a b c d e"]
+    names = "doc_id bigint, text string, class int, _w_mark string, region int, _j_id int, mark int"
+    df = spark.createDataFrame([(i, t, 1, "x", 2, 3, 4) for i, t in enumerate(texts)], names)
+    kept = jaccard_join.keep_one(df, 5, 80, 100)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
+def test_scratch_is_removed(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    texts = corpus(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    jaccard_join.similarity_classes(df, 4, 85, 100).count()
+    left = {p.rpartition("/weftline-")[2].rpartition("-")[0] for p in set(glob.glob(f"{folder}/*")) - before}
+    assert left == {"jaccard-ids", "jaccard-components"}
 
 
 def test_keep_one_keeps_the_least_of_each_group(spark):

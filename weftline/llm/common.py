@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only where the session names no spark.checkpoint.dir and all of Spark is this one machine.
 LOCAL_SCRATCH = "file:///tmp/weftline-scratch"
+#: Rows of a few numbers that a join may broadcast, about 64 MB.
+BROADCAST_ROWS = 1 << 20
 
 #: ASCII white space of the word pattern, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -16,7 +18,10 @@ SPACE = r"\x20\x09-\x0D"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (master := spark.sparkContext.master).startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -32,6 +37,45 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder; those not kept are deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """written() for this block only."""
+        return self.owned(written(df, name))
+
+    def owned(self, df: DataFrame) -> DataFrame:
+        """A written table that ends with the block."""
+        self.tables.append(df)
+        return df
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """written() for the caller too."""
+        return written(df, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.tables:
+            discard(df)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing reads it."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/weftline-" in path:
+            remove(df.sparkSession, path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row for a join: broadcast up to BROADCAST_ROWS rows, else merged by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system and path object for a path, on the driver."""
     jvm = spark.sparkContext._jvm
@@ -53,6 +97,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_w_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
