@@ -71,9 +71,9 @@ def discard(df: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row for a join: broadcast up to BROADCAST_ROWS rows, else merged by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table for a join: broadcast if it has so many rows at most, else merged by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
 def filesystem(spark: SparkSession, path: str):

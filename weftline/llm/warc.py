@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import Scratch, discard, n_partitions, scratch, sized, written
 
 #: Payloads of this size and more are stored once.
 MIN_SHARED = 1000
+#: Rows (a digest and an id, about 100 bytes) of the shared payloads that a join may broadcast.
+OWNER_ROWS = 1 << 18
 #: Bytes at which a task begins another archive, and bytes of a range to read.
 ROLL_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
 
@@ -110,12 +112,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, compress: bool =
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     shared = rows.where(F.col("n") >= MIN_SHARED).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
-    owners = written(shared.where("copies > 1").select("digest", "owner"), "warc-owners")  # its size is known, so Spark broadcasts it only if small
+    owners = written(shared.where("copies > 1").select("digest", "owner"), "warc-owners")
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
     refers_to = F.when(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    joined = rows.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
-    return written(joined.mapInArrow(_write(folder, compress), "path string, bytes bigint, records bigint"), "warc-list")
+    joined = rows.join(sized(owners, OWNER_ROWS), "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
+    made = written(joined.mapInArrow(_write(folder, compress), "path string, bytes bigint, records bigint"), "warc-list")
+    discard(owners)
+    return made
 
 
 class _Range:
@@ -190,7 +194,7 @@ def header(data: bytes) -> tuple[dict[str, str], int, int] | None:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for number, uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = _Range(uri, start, end)
             data.more()  # magic may straddle the end of the range
             successor = {}
@@ -206,21 +210,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 exits[at] = to if to >= min(end, data.size) else exits.get(to)
             if exits:
                 rows = sorted(exits.items())
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([end] * len(rows), pa.int64())], names=["path", "at", "exit", "range_end"])
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([end] * len(rows), pa.int64())], names=["file", "at", "exit", "range_end"])
 
 
 def reachable(candidates: DataFrame, rounds: int) -> DataFrame:
-    """Entries (path, at, range_end) on the chain from offset 0, by pointer jumping over the exits."""
-    nodes = candidates.select("path", "at", "range_end")
-    jump = candidates.where("exit is not null").select("path", "at", "exit")
-    seen = candidates.where("at = 0").select("path", "at")
-    for k in range(rounds):
-        onward = seen.join(jump, ["path", "at"]).select("path", F.col("exit").alias("at"))
-        seen = written(seen.unionByName(onward).distinct(), f"warc-seen-{k}")
-        if k + 1 < rounds:
-            further = jump.select(F.col("path").alias("path"), F.col("at").alias("exit"), F.col("exit").alias("next"))
-            jump = written(jump.join(further, ["path", "exit"]).select("path", "at", F.col("next").alias("exit")), f"warc-jump-{k}")
-    return nodes.join(seen, ["path", "at"], "left_semi")
+    """Entries (file, at, range_end) on the chain from offset 0, by pointer jumping over the exits.
+
+    All joins are by shuffle: either side grows with the archives.
+    """
+    nodes = candidates.select("file", "at", "range_end")
+    jump = candidates.where("exit is not null").select("file", "at", "exit")
+    seen = candidates.where("at = 0").select("file", "at")
+    with Scratch(candidates.sparkSession) as own:
+        for k in range(rounds):
+            onward = seen.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("exit").alias("at"))
+            seen = own.written(seen.unionByName(onward).distinct(), f"warc-seen-{k}")
+            if k + 1 < rounds:
+                further = jump.select("file", F.col("at").alias("exit"), F.col("exit").alias("next"))
+                jump = own.written(jump.join(further.hint("merge"), ["file", "exit"]).select("file", "at", F.col("next").alias("exit")), f"warc-jump-{k}")
+        return written(nodes.join(seen.hint("merge"), ["file", "at"], "left_semi"), "warc-entries")
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,13 +263,15 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     spark = archives.sparkSession
     largest = archives.agg(F.max("bytes")).first()[0] or 0
     n_ranges = -(-largest // range_bytes)
-    ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
+    files = written(archives.select(F.monotonically_increasing_id().alias("file"), "path", "bytes"), "warc-files")
+    ranges = files.where("bytes > 0").select("file", "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + range_bytes)
-    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = written(ranges.repartition(spread).mapInArrow(_candidates, "path string, at bigint, exit bigint, range_end bigint"), "warc-candidates")
+    spread = max(spark.sparkContext.defaultParallelism, n_partitions(spark))
+    found = written(ranges.repartition(spread).mapInArrow(_candidates, "file bigint, at bigint, exit bigint, range_end bigint"), "warc-candidates")
     entries = reachable(found, max(1, (n_ranges - 1).bit_length()) if n_ranges > 1 else 0)
+    discard(found)
     # all that is read of a range begins at its first reachable entry
-    first = entries.groupBy("path", "range_end").agg(F.min("at").alias("at")).select("path", "at", "range_end")
+    first = entries.groupBy("file", "range_end").agg(F.min("at").alias("at")).join(files.select("file", "path").hint("merge"), "file").select("path", "at", "range_end")
     return first.repartition(spread).mapInArrow(_records, RECORDS)
 
 
