@@ -5,8 +5,9 @@ by side. A size-weighted sample of these keys gives quantile boundaries of many
 than shards; ranges that turn out overfull (a hot text) are subdivided by samples of their
 own, on the second part of the key. Exact sizes per range, carried over from range to range,
 then say which shard and slot each record has: a record belongs to the shard that
-its middle byte falls in, so shards are equal in bytes up to one record.
-Only keys and sizes are shuffled, never texts.
+its middle byte falls in, so shards are equal in bytes up to one record. Equal texts stay side
+by side: a group of them is cut only where a shard ends inside it, as a law of equal bytes must
+cut a group that is larger than a shard. Only keys and sizes are shuffled, never texts.
 
 Defined results: null text has size 8 and crc 0; null doc_ids hash as null; repeated rows get
 slots of their own; other columns are ignored; an empty table gives no rows.
@@ -16,15 +17,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 N_SHARDS = 24
-#: Ranges for each shard at least, rows in a range at most (aim), samples for each range.
+#: Ranges for each shard at least, rows aimed at in a range, samples for each range.
 RANGES_A_SHARD, ROWS_A_RANGE, SAMPLES = 16, 200_000, 32
+#: Ranges in all before subdividing: bounds samples (24 bytes each, 12 MB) and sums on the driver; beyond it ranges get larger.
+MOST_RANGES = 16_384
 #: Times the mean at which a range counts as overfull, and rounds of subdividing.
 OVERFULL, ROUNDS = 2.0, 4
 
@@ -44,20 +48,20 @@ def _range_of(splitters: np.ndarray):
     return find
 
 
-def _sampled(rows: DataFrame, total: int, samples: int, seed: int) -> list:
-    """Keys drawn by size: about samples of them, the same ones however often this runs."""
+def _sampled(rows: DataFrame, total: int, samples: int, seed: int) -> pa.Table:
+    """Keys drawn by size: about samples of them, whose number is bounded, the same ones however often this runs."""
     chance = F.col("size") * F.lit(samples / max(total, 1))
     draw = F.shiftrightunsigned(F.xxhash64("first", "second", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return rows.where(draw < chance).select("first", "second", F.greatest(chance, F.lit(1.0)).alias("weight")).collect()
+    return rows.where(draw < chance).select("first", "second", F.greatest(chance, F.lit(1.0)).alias("weight")).toArrow()
 
 
-def _splitters(sample: list, n_ranges: int) -> np.ndarray:
+def _splitters(sample: pa.Table, n_ranges: int) -> np.ndarray:
     """Weighted quantiles of the sampled keys."""
-    if not sample or n_ranges < 2:
+    if not sample.num_rows or n_ranges < 2:
         return np.zeros(0, dtype="S16")
-    keys = _ordered(np.array([r[0] for r in sample]), np.array([r[1] for r in sample]))
+    keys = _ordered(sample["first"].to_numpy(), sample["second"].to_numpy())
     order = np.argsort(keys)
-    passed = np.cumsum(np.array([r[2] for r in sample])[order])
+    passed = np.cumsum(sample["weight"].to_numpy()[order])
     at = np.searchsorted(passed, passed[-1] * np.arange(1, n_ranges) / n_ranges)
     return np.unique(keys[order][np.minimum(at, len(keys) - 1)])
 
@@ -77,7 +81,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         "shard-keys",
     )
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
-    n_ranges = max(n_shards * RANGES_A_SHARD, -(-count // ROWS_A_RANGE))
+    n_ranges = max(n_shards * RANGES_A_SHARD, min(MOST_RANGES, -(-count // ROWS_A_RANGE)))
     aim = max((total or 0) / n_ranges, 1)
     splitters = _splitters(_sampled(rows, total or 0, SAMPLES * n_ranges, 0), n_ranges)
     for turn in range(1, ROUNDS + 1):
@@ -110,6 +114,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         ),
         "shard-ranks",
     )
+    discard(rows)
     firsts = ranked.groupBy("shard").agg(F.min("rank").alias("lowest"))
     return ranked.join(F.broadcast(firsts), "shard").select(  # a row for each shard
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("lowest")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
