@@ -95,6 +95,81 @@ def test_added_spans_and_redaction(spark):
     assert clean[101] == (None, 0) and clean[102] == ("nothing here", 12) and "2671" not in clean[100][0]
 
 
+LOOSE_BY_HAND = [
+    ("email", r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
+    ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("card", r"(?<![0-9._/])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{1,7}(?![0-9])"),
+    ("phone", r"(?<![0-9+.()-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}"),
+]
+
+
+def votes_by_hand(kind, text, before, after):
+    digits = re.sub("[^0-9]", "", text)
+    has = lambda p, t: re.search(p, t) is not None
+    sign = lambda x: 1 if x else -1
+    plain = text
+    if kind == "email":
+        plain = re.sub(r" ?(?:[(\[]dot[)\]]|\.) ?", ".", re.sub(r" ?[(\[]at[)\]] ?", "@", text))
+    form = {"card": digits, "phone": re.sub("[^0-9+]", "", text)}.get(kind, plain)
+    regex, gazetteer = sign(has(personal_data.CANONICAL[kind], form)), sign(has(personal_data.GAZETTEER[kind], plain))
+    checksum = {"card": lambda: 0, "phone": lambda: sign(10 <= len(digits) <= 13)}.get(kind, lambda: 0)()
+    if kind == "card":
+        checksum = sign(sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0)
+    if kind == "secret":
+        regex, gazetteer = max(regex, 0), max(gazetteer, 0)
+        bits = -sum(n / len(text) * np.log2(n / len(text)) for n in collections.Counter(text).values())
+        checksum = 1 if bits >= 2.8 else -1 if bits < 2.2 else 0
+    against = has(personal_data.AGAINST_SECRET if kind == "secret" else personal_data.AGAINST, before) or has(personal_data.AFTER, after)
+    context = 1 if has(personal_data.CONTEXT[kind], before) else -1 if against else 0
+    return regex, sign(has(personal_data.SHAPE[kind], text)), gazetteer, context, checksum
+
+
+def spans_by_hand(text, patterns, loose):
+    out = []
+    for kind, p in patterns:
+        end, found = 0, list(re.finditer(p, text))
+        for k, m in enumerate(found):
+            following = found[k + 1].start() if k + 1 < len(found) else len(text)
+            if loose or valid(kind, m.group()):
+                votes = votes_by_hand(kind, m.group(), text[max(end, m.start() - 40) : m.start()], text[m.end() : min(following, m.end() + 40)])
+                out.append((kind, m.start(), m.end(), votes, min((m.end() - m.start()) // 6, 7)))
+            end = m.end()
+    return out
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    parts = [lambda: f"password={hexed(18)}", lambda: f'token = "{hexed(40)}"', lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), lambda: f"commit {hexed(40)}", lambda: "see https://x.org/a-long-page-name-for-2024-readers", lambda: "part aaaaaaaaaaaaaaaaaaaaa1", lambda: "joe (at) mail (dot) com", lambda: "a.b@c.org", lambda: "call (415) 555-2671", lambda: "order 123 456 7890 pages", lambda: "4111.1111.1111.1111", lambda: "2001:db8:1:2:3:4:5:6", lambda: "+1 (487) 555-7209", lambda: "10.2.3.4", lambda: "é word"]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randrange(9))) for _ in range(300)] + [None, "", " ".join(f"password={hexed(18)}" for _ in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    base = [spans_by_hand(t or "", PATTERNS, False) for t in texts]
+    loose = [[x for x in spans_by_hand(t or "", LOOSE_BY_HAND, True) if not any(x[1] < b[2] and b[1] < x[2] for b in own)] for t, own in zip(texts, base)]
+    counts = collections.Counter((x[0], x[3], x[4]) for own in base + loose for x in own)
+    w = personal_data.train([(*k, n) for k, n in counts.items()])
+    n_added = 0
+    kinds = personal_data.ALL_KINDS
+    for r in personal_data.find(df).collect():
+        i, good = r["doc_id"], []
+        for x in loose[i]:
+            score = sum(a * b for a, b in zip(w, personal_data._features(x[0], x[3], x[4])))
+            if score >= 0 and not any(x[1] < b[2] and b[1] < x[2] for b in good):
+                good.append(x)
+        want = sorted(base[i] + good, key=lambda x: (kinds.index(x[0]), x[1]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in want)
+        assert r["n_added"] == len(good) and r["n_spans"] == len(want)
+        n_added += len(good)
+    assert n_added > 300
+    clean = {r["doc_id"]: r["text"] for r in personal_data.redact(df).collect()}
+    assert clean[len(texts) - 1] == " ".join(["password=<SECRET>"] * 700) and clean[300] is None
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a@b.org", 7, "x", 2)], "doc_id bigint, text string, _w_base_spans int, kind string, spans int")
+    assert personal_data.redact(df).collect() == spark.createDataFrame([(1, "<EMAIL>", 7, "x", 2)], df.schema).collect()
+
+
 def test_reliabilities_tell_labelers_apart():
     rng = random.Random(8)
     counts = collections.Counter()
