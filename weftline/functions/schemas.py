@@ -35,9 +35,10 @@ INCOMPATIBLE = "incompatible"
 
 
 def version_of(payload: Column, path: str = "$.version") -> Column:
-    """The version in a JSON payload: an integer at path (not a boolean, not a text), else null."""
-    raw = F.get_json_object(payload, path)
-    return F.when(raw.rlike(r"^-?[0-9]{1,18}$"), raw.cast("bigint"))
+    """The version in a JSON payload: an integer at path (not a boolean, a text or a fraction), else null."""
+    parsed = F.try_parse_json(payload)
+    whole = F.schema_of_variant(F.try_variant_get(parsed, path, "variant")) == "BIGINT"
+    return F.when(whole, F.try_variant_get(parsed, path, "bigint"))
 
 
 def plan(family: Family, version: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources import scratch
+
 PAGE, BATCH_ITEMS, BATCH_BYTES = 1024, 1024, 512 << 10
 SETTLED = ("succeeded", "failed", "cancelled")
 
@@ -82,23 +84,28 @@ def lost_items(stored: DataFrame, recorded: DataFrame, keys: list[str]) -> DataF
     return recorded.join(n, keys, "left").withColumn("stored", F.coalesce("stored", F.lit(0))).where(F.col("stored") < F.col("recorded"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """All composites below the roots (id), by joins level after level up to depth; edges: parent, child."""
-    found = level = roots.select("id").distinct()
-    for _ in range(depth):
-        level = level.join(edges, level["id"] == edges["parent"]).select(F.col("child").alias("id")).distinct().join(found, "id", "left_anti")
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """All composites below the roots (id) and these; edges: parent, child. Level after level to the last, each a table."""
+    spark = edges.sparkSession
+    edges = scratch.written(edges.select("parent", "child"), "edges")
+    found = scratch.path(spark, "closure")
+    level, depth = scratch.written(roots.select("id").distinct(), "closure", f"{found}/level=0"), 0
+    while not level.isEmpty():
+        seen = spark.read.schema(level.schema).parquet(*(f"{found}/level={k}" for k in range(depth + 1)))
+        depth += 1
+        below = level.join(edges, level["id"] == edges["parent"]).select(F.col("child").alias("id")).distinct()
+        level = scratch.written(below.join(seen, "id", "left_anti"), "closure", f"{found}/level={depth}")
+    return spark.read.schema(level.schema).parquet(*(f"{found}/level={k}" for k in range(depth + 1)))
 
 
-def cancel(tasks: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """Answers to cancelling the roots: every unfinished task of their closure, and whether it was running."""
-    held = closure(edges, roots, depth).select(F.col("id").alias("composite_id"))
+def cancel(tasks: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Answers to cancelling the roots: for every task of their closure, and unknown for a root that no task belongs to and nothing is below."""
+    held = closure(edges, roots).select(F.col("id").alias("composite_id"))
     live = tasks.join(held, "composite_id", "left_semi")
     answer = F.when(F.col("state").isin("scheduled", "queued", "claimed", "running", "pending"), "cancelled").otherwise("already_finished")
-    return live.withColumns({"answer": answer, "was_running": (F.col("state") == "running")})
+    live = live.withColumns({"answer": answer, "was_running": F.col("state").isin("claimed", "running")})
+    missing = roots.select(F.col("id").alias("composite_id")).distinct().join(tasks, "composite_id", "left_anti").join(edges, F.col("composite_id") == edges["parent"], "left_anti")
+    return live.unionByName(missing.withColumns({"answer": F.lit("unknown"), "was_running": F.lit(False)}), allowMissingColumns=True)
 
 
 def _step(i: str) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK, RESULT_INLINE, BACKEND_INLINE = 256 << 10, 128 << 10, 64 << 10
 
@@ -75,26 +79,29 @@ def standing(state: Column, continued: Column, digest: Column) -> Column:
     )
 
 
-def blob_admission(df: DataFrame, order: str, limit: int) -> DataFrame:
-    """Blobs (digest, size, result, right_key) in order: refused if too large, of a wrong key, or past the share; known blobs are free.
+def blob_admission(df: DataFrame, order: str, limit: int | None) -> DataFrame:
+    """Blobs (shard, digest, size, result, right_key) with the answer that each shard's store gives them in order.
 
-    Room is judged against everything that was offered before, which is the state of a store that
-    has refused nothing yet.
+    Too large, of a wrong key, or past the room left is refused and takes none; a blob that is
+    held costs nothing; inputs may fill half of the limit. Each store is one sequence, scanned
+    in order by one task that holds the store's digests and two sums, never the rows.
     """
-    from pyspark.sql import Window as W
-
-    seen = F.row_number().over(W.partitionBy("shard", "digest").orderBy(order)) > 1
-    before = W.partitionBy("shard").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    marked = df.withColumn("_known", seen)
-    new = F.when(~F.col("_known"), F.col("size")).otherwise(0)
-    new_input = F.when(~F.col("_known") & ~F.col("result"), F.col("size")).otherwise(0)
-    marked = marked.withColumns({"_all": F.coalesce(F.sum(new).over(before), F.lit(0)), "_in": F.coalesce(F.sum(new_input).over(before), F.lit(0))})
-    word = (
-        F.when(F.col("size") > CHUNK, "too_large")
-        .when(~F.col("right_key"), "wrong_key")
-        .when(F.col("_known"), "stored")
-        .when(F.col("_all") + F.col("size") > limit, "store_full")
-        .when(~F.col("result") & (F.col("_in") + F.col("size") > limit / 2), "store_full")
-        .otherwise("stored")
-    )
-    return marked.withColumn("answer", word).drop("_known", "_all", "_in")
+    fields = ["shard", "digest", "size", "result", "right_key"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, used, inputs = object(), set(), 0, 0
+        for batch in batches:
+            answers = []
+            for shard, digest, size, result, right in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                if shard != last:
+                    last, held, used, inputs = shard, set(), 0, 0
+                full = limit is not None and (used + size > limit or not result and 2 * (inputs + size) > limit)
+                answer = "too_large" if size > CHUNK else "wrong_key" if not right else "stored" if digest in held or not full else "store_full"
+                if answer == "stored" and digest not in held:
+                    held.add(digest)
+                    used, inputs = used + size, inputs + (0 if result else size)
+                answers.append(answer)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, "answer"])
+
+    ordered = df.repartition("shard").sortWithinPartitions("shard", order)
+    return ordered.mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())]))

@@ -50,7 +50,7 @@ def tree(df: DataFrame, keys: list[str], index: str, value: Column, merge: Merge
 def guarded(values: Column, merge: Merge, seed: Column | None) -> Column:
     """A fold of an array with the edge cases: empty gives the seed, or an error where there is none."""
     folded = _fold(values, merge, seed)
-    empty = seed if seed is not None else F.raise_error(F.lit("ReduceEmptyError")).cast("bigint")
+    empty = seed if seed is not None else F.raise_error(F.lit("ReduceEmptyError"))
     return F.when(F.size(values) == 0, empty).otherwise(folded)
 
 

@@ -82,26 +82,6 @@ def items_lost(spark, sf_dir):
     return comp.lost_items(m.where("value % 9 <> 0"), m.groupBy("composite_id").agg(F.count("*").alias("recorded")), ["composite_id"])
 
 
-@query("C10", "E10", sql="""
-WITH n AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:5], lambda x: string_split(x, ' ')[1:3]) AS t FROM documents WHERE text IS NOT NULL),
-o AS (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM n)
-SELECT doc_id, '' AS path, 0 AS depth, 'list' AS kind, NULL::VARCHAR AS value FROM n
-UNION ALL SELECT doc_id, lpad((i - 1)::VARCHAR, 6, '0'), 1, 'list', NULL FROM o
-UNION ALL SELECT doc_id, lpad((i - 1)::VARCHAR, 6, '0') || '.' || lpad((j - 1)::VARCHAR, 6, '0'), 2, 'value', t[i][j] FROM (SELECT doc_id, t, i, unnest(generate_series(1, len(t[i]))) AS j FROM o)""")
-def tree_flatten(spark, sf_dir):
-    """Nested results as preorder rows."""
-    lines = F.transform(F.slice(F.split("text", "\n"), 1, 5), lambda x: F.slice(F.split(x, " "), 1, 3))
-    return comp.flatten_tree(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lines.alias("t")), "t", "doc_id")
-
-
-@query("C10", "E10", sql="""
-SELECT doc_id, array_to_string(list_transform(list_transform(string_split(text, chr(10))[1:5], lambda x: string_split(x, ' ')[1:3]), lambda x: array_to_string(x, '+')), '|') AS nested FROM documents WHERE text IS NOT NULL""")
-def tree_resolve(spark, sf_dir):
-    """Preorder rows put back into nested lists."""
-    nested = comp.unflatten_tree(tree_flatten(spark, sf_dir), "doc_id")
-    return nested.select("doc_id", F.array_join(F.transform("nested", lambda x: F.array_join(x, "+")), "|").alias("nested"))
-
-
 def _sql_step(i: str) -> str:
     return f"CASE WHEN {i} < 1000000 THEN lpad(({i})::VARCHAR, 6, '0') ELSE '~' || lpad(({i})::VARCHAR, 10, '0') END"
 
@@ -113,17 +93,17 @@ v AS (SELECT doc_id, i, unnest(t[i]) AS value, unnest(generate_series(1, len(t[i
 SELECT doc_id, '' AS path, 0 AS depth, 'list' AS kind, NULL::VARCHAR AS value FROM n
 UNION ALL SELECT doc_id, {_sql_step("i - 1")}, 1, 'list', NULL FROM o
 UNION ALL SELECT doc_id, ({_sql_step("i - 1")}) || '.' || ({_sql_step("j - 1")}), 2, 'value', value FROM v""")
-def tree_flatten_whole(spark, sf_dir):
-    """tree_flatten over every line and word of the whole text."""
+def tree_flatten(spark, sf_dir):
+    """Nested results as preorder rows: every line and word of a text."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
     return comp.flatten_tree(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lines.alias("t")), "t", "doc_id")
 
 
 @query("C10", "E10", sql="""
 SELECT doc_id, array_to_string(list_transform(list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')), lambda x: array_to_string(x, '+')), '|') AS nested FROM documents WHERE text IS NOT NULL""")
-def tree_resolve_whole(spark, sf_dir):
-    """tree_resolve over every line and word of the whole text."""
-    nested = comp.unflatten_tree(tree_flatten_whole(spark, sf_dir), "doc_id")
+def tree_resolve(spark, sf_dir):
+    """Preorder rows put back into nested lists."""
+    nested = comp.unflatten_tree(tree_flatten(spark, sf_dir), "doc_id")
     return nested.select("doc_id", F.array_join(F.transform("nested", lambda x: F.array_join(x, "+")), "|").alias("nested"))
 
 
@@ -142,10 +122,11 @@ def child_ids(spark, sf_dir):
 @query("A21", sql=with_tables("members", """
 , e AS (SELECT DISTINCT composite_id // 4 AS parent, composite_id AS child FROM members WHERE composite_id > 0),
 c AS (SELECT DISTINCT composite_id AS id FROM members WHERE composite_id % 97 = 5 UNION SELECT e.child FROM c JOIN e ON c.id = e.parent)
-SELECT composite_id, idx, CASE WHEN state IN ('pending', 'running') THEN 'cancelled' ELSE 'already_finished' END AS answer, state = 'running' AS was_running FROM members WHERE composite_id IN (SELECT id FROM c)""").replace(") \n, e AS", "), e AS").replace("WITH members", "WITH RECURSIVE members"))
+SELECT composite_id, idx, CASE WHEN state IN ('pending', 'running') THEN 'cancelled' ELSE 'already_finished' END AS answer, state = 'running' AS was_running FROM members WHERE composite_id IN (SELECT id FROM c)
+UNION ALL SELECT -1, NULL, 'unknown', false""").replace(") \n, e AS", "), e AS").replace("WITH members", "WITH RECURSIVE members"))
 def cancel_cascade(spark, sf_dir):
     """Cancelling composites reaches the members of all composites below."""
     m = members(spark, sf_dir)
     edges = m.where("composite_id > 0").selectExpr("composite_id div 4 AS parent", "composite_id AS child").distinct()
-    roots = m.where("composite_id % 97 = 5").select(F.col("composite_id").alias("id")).distinct()
+    roots = m.where("composite_id % 97 = 5").select(F.col("composite_id").alias("id")).distinct().unionByName(spark.range(-1, 0))
     return comp.cancel(m, edges, roots).select("composite_id", "idx", "answer", "was_running")

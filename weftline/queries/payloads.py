@@ -10,7 +10,9 @@ from weftline.functions.outcomes import length_prefixed_hash
 from weftline.operators import payload
 from weftline.operators import scheduling as sched
 from weftline.registry import query
+from weftline.sources import scratch
 from weftline.sources.fixtures import NOW_MS, runs, table, tasks, with_tables
+from weftline.sources.results import ResultStore
 
 _CHUNK = 1000
 _CHUNKS = f"""
@@ -82,18 +84,17 @@ def store_entries(spark, sf_dir):
     return payload.store_unless_complete(payload.store_entries(docs, parts), stored, "key")
 
 
-@query("E8", "A25", sql=with_tables("tasks", f"SELECT task_id, sha256(payload) AS digest FROM tasks WHERE (task_id % 5 = 0 OR submitted_ms + 864000000 > {NOW_MS}) AND task_id % 7 = 3"))
+@query("E8", "A25", "F10", sql=with_tables("tasks", f"SELECT task_id, sha256(payload) AS digest FROM tasks WHERE (task_id % 5 = 0 OR submitted_ms + 864000000 > {NOW_MS}) AND task_id % 97 <> 8"))
 def resume_results(spark, sf_dir):
-    """Retained results read again by id; what has expired is gone, and digests must agree."""
-    stored = tasks(spark, sf_dir).select("task_id", "payload", F.sha2("payload", 256).alias("digest"), F.when(F.col("task_id") % 5 != 0, F.col("submitted_ms") + 864_000_000).alias("expires_ms"))
-    return payload.load(stored, NOW_MS).where("task_id % 7 = 3").where(F.sha2("payload", 256) == F.col("digest")).select("task_id", "digest")
-
-
-@query("E8", "A25", sql=with_tables("tasks", f"SELECT task_id, sha256(payload) AS digest FROM tasks WHERE task_id % 5 = 0 OR submitted_ms + 864000000 > {NOW_MS}"))
-def resume_results_whole(spark, sf_dir):
-    """resume_results for every retained result."""
-    stored = tasks(spark, sf_dir).select("task_id", "payload", F.sha2("payload", 256).alias("digest"), F.when(F.col("task_id") % 5 != 0, F.col("submitted_ms") + 864_000_000).alias("expires_ms"))
-    return payload.load(stored, NOW_MS).where(F.sha2("payload", 256) == F.col("digest")).select("task_id", "digest")
+    """Results stored, some then damaged, and read again by id: what has expired is gone, and so is what no longer has its digest."""
+    until = F.when(F.col("task_id") % 5 != 0, F.col("submitted_ms") + 864_000_000)
+    whole, damaged = (ResultStore(spark, scratch.path(spark, f"results-{name}")) for name in ("whole", "damaged"))
+    whole.store(tasks(spark, sf_dir).select(F.col("task_id").alias("key"), "payload", until.alias("expires_ms")), None, NOW_MS)
+    whole.heads().repartition("prefix").write.partitionBy("prefix").parquet(f"{damaged.path}/heads")
+    parts = spark.read.schema("key string, payload binary, prefix string").parquet(f"{whole.path}/parts")
+    broken = F.when(F.col("key").cast("bigint") % 97 == 8, F.concat("payload", F.lit("!").cast("binary"))).otherwise(F.col("payload"))
+    parts.withColumn("payload", broken).repartition("prefix").write.partitionBy("prefix").parquet(f"{damaged.path}/parts")
+    return damaged.load(None, NOW_MS).select(F.col("key").cast("bigint").alias("task_id"), F.sha2("payload", 256).alias("digest"))
 
 
 @query("E9", sql=with_tables("runs", """
@@ -133,10 +134,15 @@ def _versioned(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", "user_id", f"{_VERSIONED.replace('|| user_id ||', '|| CAST(user_id AS string) ||')} AS payload")
 
 
-@query("E12", sql=f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 9 END::BIGINT AS version, {_VERSIONED} AS payload FROM events")
+_TYPED = """CASE event_id % 7 WHEN 0 THEN '{"version":"3","quantity":1}' WHEN 1 THEN '{"version":3.0,"quantity":1}' WHEN 2 THEN '{"version":null}' ELSE payload END"""
+
+
+@query("E12", sql=f"""
+SELECT event_id, CASE WHEN event_id % 7 < 3 THEN NULL ELSE CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 9 END END::BIGINT AS version, {_TYPED} AS payload
+FROM (SELECT event_id, {_VERSIONED} AS payload FROM events)""")
 def version_path(spark, sf_dir):
-    """Integer versions in payloads; booleans are none."""
-    return _versioned(spark, sf_dir).select("event_id", schemas.version_of(F.col("payload")).alias("version"), "payload")
+    """Integer versions in payloads; booleans, texts and fractions are none."""
+    return _versioned(spark, sf_dir).selectExpr("event_id", f"{_TYPED} AS payload").select("event_id", schemas.version_of(F.col("payload")).alias("version"), "payload")
 
 
 @query("E13", sql="SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'runnable:2' WHEN 1 THEN 'runnable:1' WHEN 2 THEN 'runnable:0' WHEN 4 THEN 'newer' ELSE 'unknown' END AS plan FROM events")
@@ -168,22 +174,16 @@ def field_hash(spark, sf_dir):
 
 
 @query("E20", sql=with_tables("tasks", """
-, b AS (SELECT queue AS shard, ticket, task_id, amount % 500 AS digest, bytes * 300 AS size, task_id % 3 = 0 AS result, task_id % 41 <> 0 AS right_key FROM tasks WHERE task_id % 20 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY shard, digest ORDER BY ticket) > 1 AS known FROM b),
-r AS (SELECT *, coalesce(sum(CASE WHEN NOT known THEN size ELSE 0 END) OVER w, 0) AS a, coalesce(sum(CASE WHEN NOT known AND NOT result THEN size ELSE 0 END) OVER w, 0) AS i FROM k WINDOW w AS (PARTITION BY shard ORDER BY ticket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT task_id, CASE WHEN size > 262144 THEN 'too_large' WHEN NOT right_key THEN 'wrong_key' WHEN known THEN 'stored' WHEN a + size > 9000000 THEN 'store_full' WHEN NOT result AND i + size > 4500000 THEN 'store_full' ELSE 'stored' END AS answer FROM r""").replace(") \n, b AS", "), b AS"))
+, b AS (SELECT queue AS shard, task_id, amount % 500 AS digest, bytes * 300 AS size, task_id % 3 = 0 AS result, task_id % 41 <> 0 AS right_key, row_number() OVER (PARTITION BY queue ORDER BY ticket) AS n FROM tasks),
+f AS (SELECT DISTINCT shard, 0::BIGINT AS n, NULL::BIGINT AS task_id, ''::VARCHAR AS answer, []::BIGINT[] AS held, 0::BIGINT AS used, 0::BIGINT AS inputs FROM b
+  UNION ALL SELECT shard, n, task_id, answer, CASE WHEN answer = 'stored' AND NOT known THEN list_append(held, digest) ELSE held END,
+    used + CASE WHEN answer = 'stored' AND NOT known THEN size ELSE 0 END, inputs + CASE WHEN answer = 'stored' AND NOT known AND NOT result THEN size ELSE 0 END
+  FROM (SELECT b.shard, b.n, b.task_id, b.digest, b.size, b.result, f.held, f.used, f.inputs, list_contains(f.held, b.digest) AS known,
+    CASE WHEN b.size > 262144 THEN 'too_large' WHEN NOT b.right_key THEN 'wrong_key' WHEN list_contains(f.held, b.digest) THEN 'stored'
+      WHEN f.used + b.size > 9000000 OR (NOT b.result AND f.inputs + b.size > 4500000) THEN 'store_full' ELSE 'stored' END AS answer
+    FROM f JOIN b ON b.shard = f.shard AND b.n = f.n + 1))
+SELECT task_id, answer FROM f WHERE n > 0""").replace(") \n, b AS", "), b AS").replace("WITH tasks", "WITH RECURSIVE tasks"))
 def blob_admission(spark, sf_dir):
     """Which blobs a store with a share limit admits."""
-    df = tasks(spark, sf_dir).where("task_id % 20 = 0").select(F.col("queue").alias("shard"), "ticket", "task_id", (F.col("amount") % 500).alias("digest"), (F.col("bytes") * 300).alias("size"), (F.col("task_id") % 3 == 0).alias("result"), (F.col("task_id") % 41 != 0).alias("right_key"))
-    return payload.blob_admission(df, "ticket", 9_000_000).select("task_id", "answer")
-
-
-@query("E20", sql=with_tables("tasks", """
-, b AS (SELECT queue AS shard, ticket, task_id, amount % 500 AS digest, bytes * 300 AS size, task_id % 3 = 0 AS result, task_id % 41 <> 0 AS right_key FROM tasks),
-k AS (SELECT *, row_number() OVER (PARTITION BY shard, digest ORDER BY ticket) > 1 AS known FROM b),
-r AS (SELECT *, coalesce(sum(CASE WHEN NOT known THEN size ELSE 0 END) OVER w, 0) AS a, coalesce(sum(CASE WHEN NOT known AND NOT result THEN size ELSE 0 END) OVER w, 0) AS i FROM k WINDOW w AS (PARTITION BY shard ORDER BY ticket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT task_id, CASE WHEN size > 262144 THEN 'too_large' WHEN NOT right_key THEN 'wrong_key' WHEN known THEN 'stored' WHEN a + size > 9000000 THEN 'store_full' WHEN NOT result AND i + size > 4500000 THEN 'store_full' ELSE 'stored' END AS answer FROM r""").replace(") \n, b AS", "), b AS"))
-def blob_admission_whole(spark, sf_dir):
-    """blob_admission over every blob: all duplicates and the whole fill level count."""
     df = tasks(spark, sf_dir).select(F.col("queue").alias("shard"), "ticket", "task_id", (F.col("amount") % 500).alias("digest"), (F.col("bytes") * 300).alias("size"), (F.col("task_id") % 3 == 0).alias("result"), (F.col("task_id") % 41 != 0).alias("right_key"))
     return payload.blob_admission(df, "ticket", 9_000_000).select("task_id", "answer")

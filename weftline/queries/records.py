@@ -31,18 +31,9 @@ def record_put_class(spark, sf_dir):
 
 @query("D2", sql=with_tables("reported", """
 SELECT record_key, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) // 1000 AS epoch, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) % 1000 AS revision,
-       max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0) IS NOT NULL AS reachable FROM (SELECT *, epoch * 1000 + revision AS v FROM reported WHERE report_id % 11 < 3) GROUP BY record_key"""))
+       max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0) IS NOT NULL AS reachable FROM (SELECT *, epoch * 1000 + revision AS v FROM reported) GROUP BY record_key"""))
 def newest_reachable(spark, sf_dir):
     """The newest version that a member still holds."""
-    df = reported(spark, sf_dir).where("report_id % 11 < 3")
-    return rec.newest_reachable(df, "record_key", ["epoch", "revision"], (F.col("holder") % 4 == 0) & (F.col("report_id") % 9 == 0))
-
-
-@query("D2", sql=with_tables("reported", """
-SELECT record_key, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) // 1000 AS epoch, coalesce(max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0), max(v)) % 1000 AS revision,
-       max(v) FILTER (holder % 4 = 0 AND report_id % 9 = 0) IS NOT NULL AS reachable FROM (SELECT *, epoch * 1000 + revision AS v FROM reported) GROUP BY record_key"""))
-def newest_reachable_whole(spark, sf_dir):
-    """newest_reachable over every report."""
     return rec.newest_reachable(reported(spark, sf_dir), "record_key", ["epoch", "revision"], (F.col("holder") % 4 == 0) & (F.col("report_id") % 9 == 0))
 
 
@@ -206,14 +197,14 @@ def drain_hand_off(spark, sf_dir):
 @query("D23", sql=_sql("reported voters", """
 , s AS (SELECT 0 AS side, worker, generation AS admitted, 0 AS low, 2 AS high FROM voters UNION ALL SELECT 1, worker, generation, 1, 3 FROM voters),
 e AS (SELECT * FROM s WHERE admitted BETWEEN low AND high), t AS (SELECT side, count(*) AS voters FROM e GROUP BY side),
-v AS (SELECT DISTINCT record_key AS ballot, holder AS worker FROM reported WHERE report_id % 7 = 0),
+v AS (SELECT DISTINCT record_key AS ballot, holder AS worker FROM reported),
 c AS (SELECT b.ballot, t.side, t.voters, (SELECT count(*) FROM v JOIN e USING (worker) WHERE v.ballot = b.ballot AND e.side = t.side) AS counted FROM (SELECT DISTINCT ballot FROM v) b CROSS JOIN t)
 SELECT ballot, sum(counted)::BIGINT AS counted, bool_and(2 * counted > voters) AS passed FROM c GROUP BY ballot"""))
 def quorum_tally(spark, sf_dir):
     """Ballots that have a majority of both configurations."""
     v = voters(spark, sf_dir)
     side = lambda n, low, high: v.select(F.lit(n).alias("side"), "worker", F.col("generation").alias("admitted"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-    votes = reported(spark, sf_dir).where("report_id % 7 = 0").select(F.col("record_key").alias("ballot"), F.col("holder").alias("worker"))
+    votes = reported(spark, sf_dir).select(F.col("record_key").alias("ballot"), F.col("holder").alias("worker"))
     return rec.quorum_tally(votes, side(0, 0, 2).unionByName(side(1, 1, 3)))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from weftline.registry import query
+from weftline.sources import scratch
 from weftline.sources.fixtures import table, with_tables
 from weftline.streaming import coalescer
 
@@ -16,20 +15,18 @@ def _events(spark, sf_dir):
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _checkpoint(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/weftline-scratch"
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+def _drained(df, name, mode="append"):
+    return coalescer.drain(df, scratch.path(df.sparkSession, name), scratch.path(df.sparkSession, f"{name}-checkpoint"), mode)
 
 
 @query("A18", "F4", "F9", sql=with_tables("tasks", """
 SELECT coalescing_key AS key, max(submitted_ms * 1000) // 1000 AS at, count(*) - 1 AS absorbed, sum(amount)::BIGINT AS payload FROM tasks GROUP BY coalescing_key"""))
 def stream_coalesce(spark, sf_dir):
     """The live coalescer over the event stream ends where the batch form does."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", coalescer.ROCKSDB)
     from weftline.sources.fixtures import _SPARK_MS
 
     rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.expr(_SPARK_MS).alias("at"), F.col("event_id").alias("id"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
-    updates = coalescer.drain(coalescer.coalesce_stream(rows, lambda a, b: a + b), f"c{uuid.uuid4().hex}", _checkpoint(spark, "coalesce"), "update")
+    updates = _drained(coalescer.coalesce_stream(rows, lambda a, b: a + b), "coalesced", "update")
     return updates.groupBy("key").agg(F.max(F.struct("absorbed", "at", "payload")).alias("s")).select("key", "s.at", "s.absorbed", "s.payload")
 
 
@@ -38,5 +35,5 @@ def stream_dedup(spark, sf_dir):
     """Ids seen again within the watermark record nothing."""
     rows = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
     doubled = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
-    once = coalescer.drain(coalescer.once_by_id(doubled, "event_id", "at", "30 days").select("event_id", "user_id"), f"d{uuid.uuid4().hex}", _checkpoint(spark, "dedup"))
+    once = _drained(coalescer.once_by_id(doubled, "event_id", "at", "30 days").select("event_id", "user_id"), "once")
     return once.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))

@@ -48,6 +48,9 @@ _REPORTED = """
 """
 
 
+_VOTERS = "CAST(n_nationkey AS bigint) AS worker, n_nationkey % 5 <> 0 AS is_member, n_nationkey % 3 <> 0 AS answered, n_nationkey % 4 AS generation"
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Immutable submissions, one for each event."""
     return table(spark, sf_dir, "events").selectExpr(*_columns(_TASKS.format(string="string", ms=_SPARK_MS)))
@@ -75,8 +78,8 @@ def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workers that hold records: the first twelve suppliers."""
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 12").selectExpr("s_suppkey AS worker", "s_suppkey % 5 <> 0 AS is_member", "s_suppkey % 3 <> 0 AS answered", "s_suppkey % 4 AS generation")
+    """Workers that hold records: one for each nation."""
+    return table(spark, sf_dir, "nation").selectExpr(*_columns(_VOTERS))
 
 
 def _columns(text: str) -> list[str]:
@@ -96,7 +99,7 @@ _SQL = {
     "members": f"SELECT {_MEMBERS} FROM lineitem",
     "policy": f"SELECT queue, priority::BIGINT AS priority, weight::BIGINT AS weight, max_running::BIGINT AS max_running, age_ms::BIGINT AS age_ms FROM (VALUES {_POLICY}) t(queue, priority, weight, max_running, age_ms)",
     "reported": f"SELECT {_REPORTED} FROM events",
-    "voters": "SELECT s_suppkey AS worker, s_suppkey % 5 <> 0 AS is_member, s_suppkey % 3 <> 0 AS answered, s_suppkey % 4 AS generation FROM supplier WHERE s_suppkey < 12",
+    "voters": f"SELECT {_VOTERS} FROM nation",
 }
 _NEEDS = {"runs": ("tasks",)}
 

@@ -20,11 +20,13 @@ class ResultStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def store(self, df: DataFrame, ttl_ms: int | None, now_ms: int) -> None:
-        """Store results (key, payload) that aren't complete yet; a head is written only after its payload."""
-        new = df.select(F.col("key").cast("string").alias("key"), F.col("payload").cast("binary").alias("payload")).dropDuplicates(["key"])
+        """Store results (key, payload, and expires_ms where a result has its own) that aren't complete yet; a head is written only after its payload."""
+        until = F.lit(None if ttl_ms is None else now_ms + ttl_ms).cast("bigint")
+        until = F.col("expires_ms").cast("bigint") if "expires_ms" in df.columns else until
+        new = df.select(F.col("key").cast("string").alias("key"), F.col("payload").cast("binary").alias("payload"), until.alias("expires_ms")).dropDuplicates(["key"])
         if self.exists():
             new = new.join(self.heads().select("key"), "key", "left_anti")
-        new = new.withColumns({"digest": F.sha2("payload", 256), "expires_ms": F.lit(None if ttl_ms is None else now_ms + ttl_ms).cast("bigint"), "prefix": F.expr(PREFIX)})
+        new = new.withColumns({"digest": F.sha2("payload", 256), "prefix": F.expr(PREFIX)}).repartition("prefix")
         new.select("key", "payload", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.path}/parts")
         new.select("key", "digest", "expires_ms", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.path}/heads")
 

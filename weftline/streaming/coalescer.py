@@ -57,8 +57,19 @@ def windowed_counts(df: DataFrame, time: str, delay: str, window: str, *keys: st
     return df.withWatermark(time, delay).groupBy(F.window(time, window), *keys).count()
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over all that is available now; its output as a table in memory, for tests and small results."""
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a streaming frame over all that is available now; its output as a Parquet table at path, a folder for each batch."""
+    spark = df.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=-1")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(df.schema).parquet(path).drop("batch")
