@@ -82,6 +82,17 @@ def test_bodies_retry_and_report(spark):
     assert not got[-1]["ok"] and got[-1]["failure_kind"] == "ValueError" and got[-1]["failure_message"] == "negative" and got[-1]["attempts"] == 3
     assert sorted(r["outcome"]["value"] for r in bodies.run(df, bodies.task("bigint", timeout_s=5.0)(later), "x").collect()) == [0, 2]
     assert bodies.task("bigint")(later).local(4) == 5
+    with pytest.raises(Exception, match="pickle|local object"):
+        bodies.task("bigint")(lambda x: x).local(lambda: 1)
+
+    def slow(x):
+        import time
+
+        time.sleep(30 if x < 0 else 0)
+        return x
+
+    got = {r["x"]: r["outcome"] for r in bodies.run(df, bodies.task("bigint", timeout_s=0.5)(slow), "x").collect()}
+    assert got[1]["ok"] and got[-1]["failure_kind"] == "TimeoutError"
     with pytest.raises(TypeError):
         bodies.task("bigint")(add)
 

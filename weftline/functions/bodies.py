@@ -1,15 +1,21 @@
 """User bodies in Python: vectorised tasks with retries, timeouts, hooks and outcomes.
 
 Spark may run a body again after a loss, so bodies are to be idempotent; an at-most-once body
-can't be promised here and `ephemeral` is only recorded.
+can't be promised here and `ephemeral` is only recorded. A body past its timeout is stopped where it
+runs in the worker's main thread, by a timer signal; elsewhere its late result counts as a timeout.
 """
 
 from __future__ import annotations
 
 import asyncio
+import contextlib
 import inspect
+import pickle
+import signal
+import threading
 import time
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,9 +41,36 @@ class Body:
             raise TypeError("a task takes exactly one argument")
 
     def local(self, value: object) -> object:
-        """The body here and now."""
-        out = self.function(value)
-        return asyncio.run(out) if inspect.isawaitable(out) else out
+        """The body here and now; value and result go through a serializer, as they would on the way to a worker."""
+        out = self.function(pickle.loads(pickle.dumps(value)))
+        return pickle.loads(pickle.dumps(asyncio.run(out) if inspect.isawaitable(out) else out))
+
+
+_info: ContextVar[dict] = ContextVar("run_info")
+
+
+def run_info() -> dict:
+    """What a body may know of its run: Spark's partition and attempt, and which try this is. LookupError outside a run."""
+    return _info.get()
+
+
+@contextlib.contextmanager
+def _alarm(seconds: float | None) -> Iterator[None]:
+    """TimeoutError in the code inside once so many seconds have passed."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def task(returns: str, **options: object) -> Callable[[Callable], Body]:
@@ -49,7 +82,9 @@ def _attempt(body: Body, value: object, info: dict) -> tuple[bool, object, str |
     """(ok, value, failure kind, failure message) of one attempt; late results count as a timeout."""
     began = time.monotonic()
     try:
-        out = body.function(value)
+        _info.set(info)
+        with _alarm(body.timeout_s):
+            out = body.function(value)
         if inspect.isawaitable(out):
             out = asyncio.run(asyncio.wait_for(out, body.timeout_s))
         if body.timeout_s is not None and time.monotonic() - began > body.timeout_s:
@@ -79,7 +114,7 @@ def run(df: DataFrame, body: Body, on: str, out: str = "outcome") -> DataFrame:
                 for n in range(1, body.retries + 2):
                     if body.before_run:
                         body.before_run(info | {"try": n})
-                    result = _attempt(body, value, info)
+                    result = _attempt(body, value, info | {"try": n})
                     if body.after_run:
                         body.after_run(info | {"try": n}, result[0])
                     if result[0]:

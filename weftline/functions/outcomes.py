@@ -30,6 +30,20 @@ def millis_up(amount: Column, unit_ms: int) -> Column:
     return F.ceil(amount * unit_ms).cast("bigint")
 
 
+def call_options(delay_s: Column, eta_ms: Column, expires_s: Column, now_ms: int) -> Column:
+    """struct<delay_ms, expires_in_ms, refused>: a delay or an eta, not both, none negative, and no expiry before the start."""
+    delay = F.coalesce(millis_up(delay_s, 1000), F.greatest(eta_ms - now_ms, F.lit(0)).cast("bigint"))
+    delay = F.when(delay_s.isNotNull() | eta_ms.isNotNull(), delay)
+    expires = millis_up(expires_s, 1000)
+    refused = (
+        F.when(delay_s.isNotNull() & eta_ms.isNotNull(), "delay_and_eta")
+        .when((delay_s < 0) | (expires_s < 0), "negative")
+        .when((delay > 0) & (expires <= delay), "expires_first")
+    )
+    good = lambda c: F.when(refused.isNull(), c)
+    return F.struct(good(delay).alias("delay_ms"), good(expires).alias("expires_in_ms"), refused.alias("refused"))
+
+
 def length_prefixed_hash(*fields: Column) -> Column:
     """A 60-bit number from SHA-256 over fields, each behind its length, so that no two lists of fields meet."""
     parts = [F.concat(F.octet_length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in fields]

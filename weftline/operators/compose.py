@@ -70,6 +70,14 @@ def fail_fast(df: DataFrame, keys: list[str], failed: Column, index: str, kind:
     return out.select(*keys, "members", F.when(F.col("_first").isNull(), "succeeded").otherwise("failed").alias("state"), F.col("_first.i").alias("failed_index"), F.col("_first.k").alias("failure_kind"))
 
 
+def collect_entries(df: DataFrame, keys: list[str], failed: Column, value: Column, kind: Column, message: Column, index: str) -> DataFrame:
+    """Every member's entry in order: struct<ok, value, failure struct<kind, message>>, so that no value is taken for a failure."""
+    failure = F.when(failed, F.struct(kind.alias("kind"), message.alias("message")))
+    entry = F.struct((~failed).alias("ok"), F.when(~failed, value).alias("value"), failure.alias("failure"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), entry.alias("e"))), lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
+    return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["e"]).alias("entries"))
+
+
 def collect_all(df: DataFrame, keys: list[str], failed: Column, value: Column, kind: Column, index: str) -> DataFrame:
     """Every member's value or failure in order, as text, and how many there are of each."""
     entry = F.when(failed, F.concat(F.lit("!"), kind)).otherwise(value.cast("string"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from weftline.operators.scan import ordered_scan
 from weftline.sources import scratch
 
 PAGE, BATCH_ITEMS, BATCH_BYTES = 1024, 1024, 512 << 10
@@ -13,20 +15,15 @@ SETTLED = ("succeeded", "failed", "cancelled")
 
 def greedy_batches(df: DataFrame, keys: list[str], index: str, size: str, items: int = BATCH_ITEMS, bytes_: int = BATCH_BYTES) -> DataFrame:
     """The batch of each item: a batch closes before the item that would break either bound; an oversized item is alone."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(size).cast("bigint").alias("s"))))
-    kind = "struct<n:bigint,used:bigint,batch:bigint,out:array<bigint>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] >= items) | ((acc["n"] > 0) & (acc["used"] + x["s"] > bytes_))
-        batch = acc["batch"] + full.cast("bigint")
-        return F.struct(
-            F.when(full, 1).otherwise(acc["n"] + 1).cast("bigint").alias("n"), F.when(full, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out")
-        ).cast(kind)
+    def step(state: tuple[int, int, int], own: int) -> tuple[tuple[int, int, int], int]:
+        n, used, batch = state
+        if n >= items or n and used + own > bytes_:
+            n, used, batch = 0, 0, batch + 1
+        return (n + 1, used + own, batch), batch
 
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("n"), zero.alias("used"), zero.alias("batch"), F.array().alias("out")).cast(kind)
-    listed = df.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_b", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
-    return listed.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), F.col("_b").alias("batch")))).select(*keys, F.col("r.i").alias(index), "batch")
+    rows = df.select(*keys, F.col(index).alias("_i"), F.col(size).cast("bigint").alias("_s"))
+    return ordered_scan(rows, keys, ["_i", "_s"], lambda: (0, 0, 0), step, ["_s"], "batch", T.LongType()).select(*keys, F.col("_i").alias(index), "batch")
 
 
 def pages(df: DataFrame, keys: list[str], index: str, page: int = PAGE) -> DataFrame:
@@ -65,17 +62,14 @@ def member_outcomes(members: DataFrame, children: DataFrame) -> DataFrame:
 
 def append_batches(batches: DataFrame, keys: list[str]) -> DataFrame:
     """Batches (start, items) as they arrive in seq: appended, a resend that changes nothing, or a gap that is refused."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "start", "items")))
-    kind = "struct<held:bigint,out:array<string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        end = x["start"] + x["items"]
-        word = F.when(x["start"] > acc["held"], "gap").when(end <= acc["held"], "resent").otherwise("appended")
-        return F.struct(F.when(x["start"] > acc["held"], acc["held"]).otherwise(F.greatest(acc["held"], end)).alias("held"), F.concat(acc["out"], F.array(word)).alias("out")).cast(kind)
+    def step(held: int, start: int, items: int) -> tuple[int, str]:
+        if start > held:
+            return held, "gap"
+        return max(held, start + items), "resent" if start + items <= held else "appended"
 
-    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.array().alias("out")).cast(kind)
-    listed = batches.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_w", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
-    return listed.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), F.col("_w").alias("answer")))).select(*keys, F.col("r.seq").alias("seq"), "answer")
+    rows = batches.select(*keys, "seq", "start", "items")
+    return ordered_scan(rows, keys, ["seq", "start", "items"], lambda: 0, step, ["start", "items"], "answer", T.StringType()).select(*keys, "seq", "answer")
 
 
 def lost_items(stored: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:

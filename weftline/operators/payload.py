@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.scan import ordered_scan
+
 CHUNK, RESULT_INLINE, BACKEND_INLINE = 256 << 10, 128 << 10, 64 << 10
 
 
@@ -86,22 +85,14 @@ def blob_admission(df: DataFrame, order: str, limit: int | None) -> DataFrame:
     held costs nothing; inputs may fill half of the limit. Each store is one sequence, scanned
     in order by one task that holds the store's digests and two sums, never the rows.
     """
-    fields = ["shard", "digest", "size", "result", "right_key"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, used, inputs = object(), set(), 0, 0
-        for batch in batches:
-            answers = []
-            for shard, digest, size, result, right in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
-                if shard != last:
-                    last, held, used, inputs = shard, set(), 0, 0
-                full = limit is not None and (used + size > limit or not result and 2 * (inputs + size) > limit)
-                answer = "too_large" if size > CHUNK else "wrong_key" if not right else "stored" if digest in held or not full else "store_full"
-                if answer == "stored" and digest not in held:
-                    held.add(digest)
-                    used, inputs = used + size, inputs + (0 if result else size)
-                answers.append(answer)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, "answer"])
-
-    ordered = df.repartition("shard").sortWithinPartitions("shard", order)
-    return ordered.mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())]))
+
+    def step(state: tuple[set, int, int], digest: object, size: int, result: bool, right: bool) -> tuple[tuple[set, int, int], str]:
+        held, used, inputs = state
+        full = limit is not None and (used + size > limit or not result and 2 * (inputs + size) > limit)
+        answer = "too_large" if size > CHUNK else "wrong_key" if not right else "stored" if digest in held or not full else "store_full"
+        if answer == "stored" and digest not in held:
+            held.add(digest)
+            used, inputs = used + size, inputs + (0 if result else size)
+        return (held, used, inputs), answer
+
+    return ordered_scan(df, ["shard"], [order], lambda: (set(), 0, 0), step, ["digest", "size", "result", "right_key"], "answer", T.StringType())

@@ -34,8 +34,20 @@ def chain(df: DataFrame, keys: list[str], order: list[str], value: Column, merge
     return listed.select(*keys, F.size("_items").cast("bigint").alias("items"), _fold(F.col("_items"), merge, seed).alias(out))
 
 
+def pairwise(parts: Column, merge: Merge) -> Column:
+    """Partial results joined in pairs left to right, level after level; an odd one is carried up."""
+
+    def level(now: Column, _: Column) -> Column:
+        slots = F.sequence(F.lit(0), F.ceil(F.size(now) / 2).cast("int") - 1)
+        return F.transform(slots, lambda k: F.when(2 * k + 1 < F.size(now), merge(F.get(now, 2 * k), F.get(now, 2 * k + 1))).otherwise(F.get(now, 2 * k)))
+
+    levels = F.ceil(F.log2(F.greatest(F.size(parts), F.lit(1)).cast("double"))).cast("int")
+    rounds = F.when(levels > 0, F.sequence(F.lit(1), F.greatest(levels, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.get(F.aggregate(rounds, parts, level), F.lit(0))
+
+
 def tree(df: DataFrame, keys: list[str], index: str, value: Column, merge: Merge, chunk: int = DEFAULT_CHUNK, seed: Column | None = None, combine: Merge | None = None, out: str = "result") -> DataFrame:
-    """Chunks of consecutive items folded side by side, their results folded in order.
+    """Chunks of consecutive items folded side by side, their results joined pairwise in order.
 
     merge is associative, or combine joins two partial results. A seed starts every chunk and
     must be an identity.
@@ -44,7 +56,7 @@ def tree(df: DataFrame, keys: list[str], index: str, value: Column, merge: Merge
     partial = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), _in_order([F.col(index)], value).alias("_items"))
     partial = partial.withColumn("_part", _fold(F.col("_items"), merge, seed))
     whole = partial.groupBy(*keys).agg(F.sum("_n").alias("items"), F.count("*").alias("chunks"), _in_order([F.col("_chunk")], F.col("_part")).alias("_parts"))
-    return whole.select(*keys, "items", "chunks", (2 * F.col("chunks") - 1).alias("steps"), _fold(F.col("_parts"), combine or merge, None).alias(out))
+    return whole.select(*keys, "items", "chunks", (2 * F.col("chunks") - 1).alias("steps"), pairwise(F.col("_parts"), combine or merge).alias(out))
 
 
 def guarded(values: Column, merge: Merge, seed: Column | None) -> Column:

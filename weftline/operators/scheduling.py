@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.operators.scan import ordered_scan
 
 # The run states that end a run, and the legal edges between states.
 TERMINAL = ("succeeded", "failed", "expired", "superseded", "cancelled", "lost", "orphaned")
@@ -38,17 +41,13 @@ def admission(payload: Column, has_manifest: Column, has_key: Column, weight: Co
 
 def budget_in_order(df: DataFrame, keys: list[str], order: list[str], size: str, hard: int) -> DataFrame:
     """Greedy acceptance within each key: a row is accepted if it still fits; refused rows take no room."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_size"))))
-    kind = "struct<used:bigint,out:array<boolean>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["_size"] <= hard
-        return F.struct(F.when(fits, acc["used"] + x["_size"]).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(fits)).alias("out")).cast(kind)
+    def step(used: int, own: int) -> tuple[int, bool]:
+        fits = used + own <= hard
+        return (used + own if fits else used), fits
 
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().alias("out")).cast(kind)
-    listed = df.groupBy(*keys).agg(rows.alias("_rows"))
-    marked = listed.withColumn("_ok", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
-    return marked.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), F.col("_ok").alias("accepted")))).select(*keys, *(F.col(f"r.{c}").alias(c) for c in order), "accepted")
+    rows = df.select(*keys, *order, F.col(size).cast("bigint").alias("_size"))
+    return ordered_scan(rows, keys, [*order, "_size"], lambda: 0, step, ["_size"], "accepted", T.BooleanType()).drop("_size")
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], level: Column, soft: Column) -> DataFrame:
@@ -73,14 +72,16 @@ def fair_claim(df: DataFrame, policy: DataFrame, running: DataFrame, now: int, k
     """The k tasks that one claim takes, and their place.
 
     Caps first; then starving tasks, oldest first; then priority tiers, in which each queue has
-    weight turns a round. Each queue's running number comes from its own window; the global
-    order is a top-k, never a full sort.
+    weight turns a round. Of a queue only its first tasks can win, k or as many as the largest
+    cap: each task of the scan keeps these before anything is shuffled, and the windows see no more.
     """
+    most = max(k, policy.agg(F.max("max_running")).first()[0] or 0)  # a row for each queue
+    df = df.join(F.broadcast(policy.select("queue", "age_ms")), "queue").withColumn("starving", F.col("age_ms").isNotNull() & (F.lit(now) - F.col("submitted_ms") > F.col("age_ms"))).drop("age_ms")
+    df = df.withColumn("_first", F.row_number().over(W.partitionBy("queue", "starving").orderBy("ticket"))).where(F.col("_first") <= most).drop("_first")
     joined = df.join(F.broadcast(policy), "queue").join(F.broadcast(running), "queue", "left")  # a row for each queue
     room = F.col("max_running") - F.coalesce("running", F.lit(0))
     by_ticket = W.partitionBy("queue").orderBy("ticket")
     joined = joined.withColumn("_nth", F.row_number().over(by_ticket)).where(F.col("max_running").isNull() | (F.col("_nth") <= room))
-    joined = joined.withColumn("starving", F.col("age_ms").isNotNull() & (F.lit(now) - F.col("submitted_ms") > F.col("age_ms")))
     joined = joined.withColumn("_p", F.row_number().over(W.partitionBy("queue", "starving").orderBy("ticket")) - 1)
     ranked = joined.withColumns({"_tier": F.when(F.col("starving"), 0).otherwise(F.col("priority")), "_round": F.when(F.col("starving"), 0).otherwise(F.floor(F.col("_p") / F.col("weight")))})
     return ranked.orderBy(F.desc("starving"), F.desc("_tier"), "_round", "ticket").limit(k).select("task_id", "queue", "starving", F.col("_tier").alias("tier"), F.col("_round").alias("round"), "ticket")
@@ -94,16 +95,47 @@ def batch_fit(df: DataFrame, keys: list[str], order: list[str], size: str, room:
     return after.withColumn("_run", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_run") <= room).drop("_run")
 
 
+def requeued(events: DataFrame) -> DataFrame:
+    """The waiting room of each queue after events (queue, at, task_id, expiry_ms, attempt): place and expiry.
+
+    A task's newest event counts: tried again, it has gone to the back and has no expiry any more.
+    """
+    newest = events.groupBy("queue", "task_id").agg(F.max(F.struct("attempt", "at", "expiry_ms")).alias("e"))
+    expiry = F.when(F.col("e.attempt") == 1, F.col("e.expiry_ms"))
+    place = F.row_number().over(W.partitionBy("queue").orderBy("e.at", "task_id")).cast("bigint")
+    return newest.select("queue", "task_id", F.col("e.attempt").alias("attempt"), expiry.alias("expiry_ms"), place.alias("place"))
+
+
+def taken_queues(subscribed: Column, asked: Column) -> Column:
+    """The queues of a claim: what the worker takes and is asked for; an empty list is every queue, and null is no queue in common."""
+    both = F.array_sort(F.array_intersect(subscribed, asked))
+    return F.when(F.size(subscribed) == 0, F.array_sort(asked)).when(F.size(asked) == 0, F.array_sort(subscribed)).when(F.size(both) > 0, both)
+
+
 def arbitrate(asks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Answers to named claims: the first asker of a claimable task wins; others are told why not."""
-    first = asks.groupBy("task_id").agg(F.min(F.struct("asked_ms", "worker")).alias("_first"))
-    joined = asks.join(tasks, "task_id", "left").join(first, "task_id")
+    """Answers to named claims: the first asker of a claimable task wins; others are told why not.
+
+    asks may say of the claimant is_leader, is_member, can_run and subscribed, and tasks of the task
+    key_busy and queue_full; what isn't there is no hindrance.
+    """
+    defaults = {"is_leader": True, "is_member": True, "can_run": True, "subscribed": True}
+    asks = asks.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in asks.columns})
+    tasks = tasks.withColumns({c: F.lit(False) for c in ("key_busy", "queue_full") if c not in tasks.columns})
+    able = F.col("is_leader") & F.col("is_member") & F.col("can_run") & F.col("subscribed")
+    first = asks.where(able).groupBy("task_id").agg(F.min(F.struct("asked_ms", "worker")).alias("_first"))
+    joined = asks.join(tasks, "task_id", "left").join(first, "task_id", "left")
     answer = (
-        F.when(F.col("state").isNull(), "task_unknown")
+        F.when(~F.col("is_leader"), "not_leader")
+        .when(~F.col("is_member"), "not_member")
+        .when(F.col("state").isNull(), "task_unknown")
         .when(F.col("state") == "superseded", "superseded")
         .when(F.col("state").isin(*TERMINAL), "finished")
         .when(F.col("state").isin("claimed", "running"), "already_selected")
         .when(F.col("state") == "scheduled", "not_ready")
+        .when(~F.col("can_run"), "cannot_run")
+        .when(~F.col("subscribed"), "not_subscribed")
+        .when(F.col("key_busy"), "key_busy")
+        .when(F.col("queue_full"), "queue_full")
         .when(F.col("_first") == F.struct("asked_ms", "worker"), "granted")
         .otherwise("already_selected")
     )

@@ -166,7 +166,7 @@ class Reduce(Step):
         return Shape(VALUE, self.type)
 
     def column(self, given: Column) -> Column:
-        from weftline.operators.reduce import guarded
+        from weftline.operators.reduce import guarded, pairwise
 
         seed = None if self.seed is None else F.lit(self.seed).cast(self.type) if self.type else F.lit(self.seed)
         if not self.tree:
@@ -174,7 +174,7 @@ class Reduce(Step):
         n = F.ceil(F.size(given) / self.chunk).cast("int")
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         parts = F.transform(starts, lambda k: guarded(F.slice(given, k * self.chunk + 1, F.lit(self.chunk)), self.merge, seed))
-        return F.when(F.size(given) == 0, guarded(given, self.merge, seed)).otherwise(guarded(parts, self.combine or self.merge, None))
+        return F.when(F.size(given) == 0, guarded(given, self.merge, seed)).otherwise(pairwise(parts, self.combine or self.merge))
 
 
 @dataclass(frozen=True)

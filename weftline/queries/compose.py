@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import outcomes
+from weftline.functions import bodies, outcomes
 from weftline.operators import coalesce, compose, reduce
 from weftline.registry import query
-from weftline.sources.fixtures import members, runs, table, tasks, with_tables
+from weftline.sources.fixtures import NOW_MS, members, runs, table, tasks, with_tables
+
+
+def _flaky(value: int) -> int:
+    if value % 5 == 0:
+        raise ValueError("five")
+    if value % 3 == 0 and bodies.run_info()["try"] == 1:
+        raise RuntimeError("the first try")
+    return value * 2
 
 
 @query("A18", "F4", sql=with_tables("tasks", """
@@ -132,7 +140,7 @@ def nested_steps(spark, sf_dir):
 def bind_fields(spark, sf_dir):
     """Scalar fields overridden on a copy of the input."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer")).alias("input"))
-    return compose.bind_fields(df, "input", priority="HIGH", customer=F.col("o_custkey") + 1 if "o_custkey" in df.columns else F.col("input.customer") + 1).select("o_orderkey", "input.*")
+    return compose.bind_fields(df, "input", priority="HIGH", customer=F.col("input.customer") + 1).select("o_orderkey", "input.*")
 
 
 @query("A9", sql=with_tables("members", """
@@ -143,6 +151,16 @@ def collect_all_outcomes(spark, sf_dir):
     return compose.collect_all(members(spark, sf_dir), ["composite_id"], F.col("state") == "failed", F.col("value"), F.lit("ValueError"), "idx")
 
 
+@query("A9", sql=with_tables("members", """
+SELECT composite_id, row_number() OVER (PARTITION BY composite_id ORDER BY idx) - 1 AS place, state <> 'failed' AS ok, CASE WHEN state <> 'failed' THEN value END AS value,
+       CASE WHEN state = 'failed' THEN 'ValueError' END AS kind, CASE WHEN state = 'failed' THEN 'size ' || size END AS message FROM members"""))
+def collect_all_entries(spark, sf_dir):
+    """Every member's value, or its failure's kind and message, in order."""
+    out = compose.collect_entries(members(spark, sf_dir), ["composite_id"], F.col("state") == "failed", F.col("value"), F.lit("ValueError"), F.concat(F.lit("size "), F.col("size").cast("string")), "idx")
+    rows = out.select("composite_id", F.posexplode("entries").alias("place", "e"))
+    return rows.select("composite_id", F.col("place").cast("bigint").alias("place"), "e.ok", "e.value", "e.failure.kind", "e.failure.message")
+
+
 @query("A8", sql=with_tables("members", """
 SELECT composite_id, count(*) AS members, CASE WHEN count(*) FILTER (state = 'failed') > 0 THEN 'failed' ELSE 'succeeded' END AS state,
        min(idx) FILTER (state = 'failed') AS failed_index, CASE WHEN count(*) FILTER (state = 'failed') > 0 THEN 'size ' || arg_min(size, idx) FILTER (state = 'failed') END AS failure_kind
@@ -172,6 +190,27 @@ def option_millis(spark, sf_dir):
     return tasks(spark, sf_dir).select("task_id", delay.alias("delay_ms"), expires.alias("expires_s"), (delay < expires * 1000).alias("valid"), (F.col("submitted_ms") + delay).alias("due_ms"))
 
 
+@query("A3", sql=with_tables("tasks", f"""
+, o AS (SELECT task_id, CASE WHEN task_id % 3 = 0 THEN task_id % 1000 END AS delay_s, CASE WHEN task_id % 5 = 0 THEN submitted_ms END AS eta_ms, CASE WHEN task_id % 4 <> 1 THEN task_id % 700 - 20 END AS expires_s FROM tasks),
+d AS (SELECT *, CASE WHEN delay_s IS NOT NULL THEN delay_s * 1000 WHEN eta_ms IS NOT NULL THEN greatest(eta_ms - {NOW_MS}, 0) END AS delay_ms FROM o)
+SELECT task_id, CASE WHEN refused IS NULL THEN delay_ms END AS delay_ms, CASE WHEN refused IS NULL THEN expires_s * 1000 END AS expires_in_ms, refused FROM (SELECT *, CASE WHEN delay_s IS NOT NULL AND eta_ms IS NOT NULL THEN 'delay_and_eta'
+  WHEN expires_s < 0 THEN 'negative' WHEN delay_ms > 0 AND expires_s * 1000 <= delay_ms THEN 'expires_first' END AS refused FROM d)""").replace(") \n, o AS", "), o AS"))
+def call_options(spark, sf_dir):
+    """Delay or eta, and expiry, of each call, or why its options are refused."""
+    n = F.col("task_id")
+    options = outcomes.call_options(F.when(n % 3 == 0, n % 1000), F.when(n % 5 == 0, F.col("submitted_ms")), F.when(n % 4 != 1, n % 700 - 20), NOW_MS)
+    return tasks(spark, sf_dir).select("task_id", options.alias("o")).select("task_id", "o.*")
+
+
+@query("A1", "F1", "F6", "F8", sql=with_tables("tasks", """
+SELECT task_id, task_id % 5 <> 0 AS ok, CASE WHEN task_id % 5 <> 0 THEN task_id * 2 END AS value, CASE WHEN task_id % 5 = 0 THEN 'ValueError' END AS failure_kind,
+       CASE WHEN task_id % 5 = 0 THEN 'five' END AS failure_message, CASE WHEN task_id % 5 = 0 THEN 3 WHEN task_id % 3 = 0 THEN 2 ELSE 1 END AS attempts FROM tasks"""))
+def task_outcomes(spark, sf_dir):
+    """A user's body over each row: its value or failure, tried again where it failed."""
+    out = bodies.run(tasks(spark, sf_dir).select("task_id"), bodies.task("bigint", retries=2)(_flaky), "task_id")
+    return out.select("task_id", "outcome.*")
+
+
 @query("A13", "F2", sql=with_tables("members", """
 SELECT composite_id, count(*) AS items, list_reduce(list(value ORDER BY idx), lambda a, x: (x - a * 3) % 1000003) AS result FROM members GROUP BY composite_id"""))
 def reduce_chain(spark, sf_dir):

@@ -88,7 +88,7 @@ def store_entries(spark, sf_dir):
 def resume_results(spark, sf_dir):
     """Results stored, some then damaged, and read again by id: what has expired is gone, and so is what no longer has its digest."""
     until = F.when(F.col("task_id") % 5 != 0, F.col("submitted_ms") + 864_000_000)
-    whole, damaged = (ResultStore(spark, scratch.path(spark, f"results-{name}")) for name in ("whole", "damaged"))
+    whole, damaged = (ResultStore(spark, scratch.path(spark, f"results-{name}"), 1) for name in ("whole", "damaged"))
     whole.store(tasks(spark, sf_dir).select(F.col("task_id").alias("key"), "payload", until.alias("expires_ms")), None, NOW_MS)
     whole.heads().repartition("prefix").write.partitionBy("prefix").parquet(f"{damaged.path}/heads")
     parts = spark.read.schema("key string, payload binary, prefix string").parquet(f"{whole.path}/parts")

@@ -114,6 +114,45 @@ def named_claims(spark, sf_dir):
     return sched.arbitrate(asks, state)
 
 
+@query("B14", sql=with_tables("runs", """
+, s AS (SELECT task_id, arg_max(state, attempt) AS state FROM runs WHERE task_id % 17 <> 3 GROUP BY task_id),
+a AS (SELECT t.task_id, w.w AS worker, t.submitted_ms + (t.task_id * (w.w + 3)) % 50 AS asked_ms, t.task_id % 19 <> w.w AS is_leader, t.task_id % 23 <> w.w AS is_member, t.task_id % 5 <> w.w AS can_run, t.task_id % 7 <> w.w AS subscribed
+  FROM tasks t, (SELECT unnest([1, 2, 3])::BIGINT AS w) w)
+SELECT task_id, worker, CASE WHEN NOT is_leader THEN 'not_leader' WHEN NOT is_member THEN 'not_member' WHEN state IS NULL THEN 'task_unknown' WHEN state = 'superseded' THEN 'superseded'
+  WHEN state IN ('succeeded', 'failed', 'expired', 'cancelled', 'lost', 'orphaned') THEN 'finished' WHEN state IN ('claimed', 'running') THEN 'already_selected' WHEN state = 'scheduled' THEN 'not_ready'
+  WHEN NOT can_run THEN 'cannot_run' WHEN NOT subscribed THEN 'not_subscribed' WHEN task_id % 11 = 4 THEN 'key_busy' WHEN task_id % 13 = 6 THEN 'queue_full'
+  WHEN row_number() OVER (PARTITION BY task_id ORDER BY is_leader AND is_member AND can_run AND subscribed DESC, asked_ms, worker) = 1 THEN 'granted' ELSE 'already_selected' END AS answer FROM a LEFT JOIN s USING (task_id)""").replace(") \n, s AS", "), s AS"))
+def claim_refusals(spark, sf_dir):
+    """Named claims with every reason that a claimant or a task can be refused for."""
+    t, w = F.col("task_id"), F.col("worker")
+    asks = tasks(spark, sf_dir).select("task_id", "submitted_ms", F.explode(F.array(*(F.lit(n).cast("bigint") for n in (1, 2, 3)))).alias("worker"))
+    asks = asks.select("task_id", "worker", (F.col("submitted_ms") + t * (w + 3) % 50).alias("asked_ms"), (t % 19 != w).alias("is_leader"), (t % 23 != w).alias("is_member"), (t % 5 != w).alias("can_run"), (t % 7 != w).alias("subscribed"))
+    state = sched.newest_run(runs(spark, sf_dir).where("task_id % 17 <> 3")).select("task_id", "state", (t % 11 == 4).alias("key_busy"), (t % 13 == 6).alias("queue_full"))
+    return sched.arbitrate(asks, state)
+
+
+@query("B7", sql=with_tables("runs", """
+, e AS (SELECT queue, task_id, attempt, updated_ms AS moved, CASE WHEN task_id % 3 = 0 THEN 3600000 END AS expiry_ms FROM runs),
+n AS (SELECT queue, task_id, max(attempt) AS attempt, arg_max(moved, attempt) AS moved, arg_max(coalesce(expiry_ms, -1), attempt) AS expiry FROM e GROUP BY queue, task_id)
+SELECT queue, task_id, attempt, CASE WHEN attempt = 1 AND expiry >= 0 THEN expiry END AS expiry_ms, row_number() OVER (PARTITION BY queue ORDER BY moved, task_id) AS place FROM n""").replace(") \n, e AS", "), e AS"))
+def requeue_order(spark, sf_dir):
+    """Tasks tried again stand at the back of their queue and have lost their expiry."""
+    events = runs(spark, sf_dir).select("queue", "task_id", "attempt", F.col("updated_ms").alias("at"), F.when(F.col("task_id") % 3 == 0, F.lit(3_600_000)).alias("expiry_ms"))
+    return sched.requeued(events)
+
+
+@query("B11", sql="""
+SELECT o_orderkey, CASE WHEN len(s) = 0 THEN array_to_string(list_sort(a), ',') WHEN len(a) = 0 THEN array_to_string(list_sort(s), ',') WHEN len(list_intersect(s, a)) > 0 THEN array_to_string(list_sort(list_intersect(s, a)), ',') END AS queues
+FROM (SELECT o_orderkey, list_filter([0, 1, 2, 3], lambda q: (o_custkey + q) % 3 = 0 AND o_custkey % 5 <> 0) AS s, list_filter([0, 1, 2, 3], lambda q: (o_orderkey + q) % 2 = 0 AND o_orderkey % 7 <> 0) AS a FROM orders)""")
+def claimed_queues(spark, sf_dir):
+    """The queues that a worker takes and is asked for; an empty list stands for every queue."""
+    every = F.array(*(F.lit(q) for q in range(4)))
+    takes = F.filter(every, lambda q: ((F.col("o_custkey") + q) % 3 == 0) & (F.col("o_custkey") % 5 != 0))
+    asked = F.filter(every, lambda q: ((F.col("o_orderkey") + q) % 2 == 0) & (F.col("o_orderkey") % 7 != 0))
+    queues = sched.taken_queues(takes, asked)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(queues, lambda q: q.cast("string")), ",").alias("queues"))
+
+
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, b in sched.EDGES)
 
 

@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PREFIX = "substring(sha2(key, 256), 1, 2)"
 
 
 class ResultStore:
-    """Results under a path: key, payload, digest, expires_ms, partitioned by a prefix of the key's hash."""
+    """Results under a path: key, payload, digest, expires_ms, in a folder for each prefix (hex digits) of the key's hash."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, digits: int = 2):
+        self.spark, self.path, self.prefix = spark, path.rstrip("/"), f"substring(sha2(key, 256), 1, {digits})"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -26,7 +25,7 @@ class ResultStore:
         new = df.select(F.col("key").cast("string").alias("key"), F.col("payload").cast("binary").alias("payload"), until.alias("expires_ms")).dropDuplicates(["key"])
         if self.exists():
             new = new.join(self.heads().select("key"), "key", "left_anti")
-        new = new.withColumns({"digest": F.sha2("payload", 256), "prefix": F.expr(PREFIX)}).repartition("prefix")
+        new = new.withColumns({"digest": F.sha2("payload", 256), "prefix": F.expr(self.prefix)}).repartition("prefix")
         new.select("key", "payload", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.path}/parts")
         new.select("key", "digest", "expires_ms", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.path}/heads")
 
