@@ -40,3 +40,17 @@ def test_several_flushes_lose_nothing_and_keep_tiers(monkeypatch):
         mine = ids[at[d] : at[d + 1]]
         assert [r["start"] for r in own] == list(np.cumsum([0] + [r["length"] for r in own])[:-1]) and sum(r["length"] for r in own) == len(mine)
         assert all(r["ids_crc32"] == zlib.crc32(mine[r["start"] : r["start"] + r["length"]].astype("<u4").tobytes()) for r in own)
+
+
+def test_tier_shares_do_not_follow_the_block():
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(rng.lognormal(5, 1, 6000).astype(int) + 1, 30000).tolist()
+
+    def shares(block):
+        ids, total = Counter(), 0
+        for k in range(0, len(lengths), block):
+            for tier, pieces in packing.pack_lengths(lengths[k : k + block])[0]:
+                ids[tier] += sum(n for *_, n in pieces)
+        return np.array([ids[t] / sum(lengths) for t in packing.TIERS])
+
+    assert np.abs(shares(6000) - shares(1000)).max() < 0.05 and np.abs(shares(6000) - shares(300)).max() < 0.08

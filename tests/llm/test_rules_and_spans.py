@@ -267,6 +267,23 @@ def test_marginals_equal_enumeration():
     assert np.allclose(good, want) and np.allclose(pair, pairs) and np.isclose(log_z, total)
 
 
+def test_score_of_a_text_by_enumeration():
+    rng = np.random.default_rng(1)
+    model = line_crf.Model(np.zeros(line_crf.FEATURES), np.ones(line_crf.FEATURES), rng.normal(size=line_crf.FEATURES) / 3, rng.normal(size=(2, 2)))
+    texts = ["one two\n\nTHREE 4 #|", "a a a b", "", "x\n\n\ny!?"]
+    for text, got in zip(texts, model.score(texts)):
+        own, (n,), size = line_crf.line_measures([text])
+        rows = [np.concatenate([own[i], own[i - 1] if i else 0 * own[0], own[i + 1] if i + 1 < n else 0 * own[0], [1.0]]) @ model.w for i in range(n)]
+        z, good = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(rows[i] * y[i] for i in range(n)) + sum(model.trans[y[i - 1], y[i]] for i in range(1, n)))
+            z, good = z + w, good + w * np.array(y)
+        weight = size if size.sum() else np.ones(n)
+        assert np.isclose(got, (good / z * weight).sum() / weight.sum())
+    long = "\n".join(["a line of words", "### | ###"] * 20_000)
+    assert 0 <= model.score([long, "short"])[0] <= 1
+
+
 def test_classifier_holds_out(spark):
     rng = random.Random(11)
     texts = ["\n".join(" ".join(rng.choice(["the", "a", "of", "word"]) + ("###" if i % 3 == 0 else "") for _ in range(9)) for _ in range(rng.randrange(1, 6))) for i in range(240)]

@@ -21,7 +21,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,37 +43,65 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 Piece = tuple[int, int, int]  # document, start, length
 
 
+class _Waiting:
+    """A list of pieces (length, document, start) for each tier, by length; a piece waits in the shortest tier that holds it."""
+
+    def __init__(self, tiers: tuple[int, ...], pieces: list[tuple[int, int, int]]):
+        self.tiers, self.lists = tiers, [[] for _ in tiers]
+        for piece in sorted(pieces):
+            self.lists[self.route(piece[0])].append(piece)
+
+    def route(self, n: int) -> int:
+        return bisect_left(self.tiers, n)
+
+    def put(self, piece: tuple[int, int, int]) -> None:
+        insort(self.lists[self.route(piece[0])], piece)
+
+    def longest(self, gap: int) -> tuple[int, int, int] | None:
+        """The longest piece that fits a gap, from the gap's own tier or the next shorter ones."""
+        for own in self.lists[self.route(gap) :: -1]:
+            k = bisect_right(own, (gap, 1 << 62, 1 << 62)) - 1
+            if k >= 0:
+                return own.pop(k)
+        return None
+
+    def shortest(self) -> tuple[int, int, int] | None:
+        return next((own.pop(0) for own in self.lists if own), None)
+
+
 def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True) -> tuple[list[tuple[int, list[Piece]]], list[Piece]]:
     """(sequences as (tier, pieces), pieces left over). Without last, the one window that nothing is left to fill is left over."""
     longest = tiers[-1]
     done: list[tuple[int, list[Piece]]] = []
-    waiting: list[tuple[int, int, int]] = []  # (length, document, start), by length
+    rests = []
     for d, n in enumerate(lengths):
         whole = n // longest
         done += [(longest, [(d, k * longest, longest)]) for k in range(whole)]
         if n % longest:
-            waiting.append((n % longest, d, whole * longest))
-    waiting.sort()
-    while waiting:
-        size = next(t for t in tiers if t >= waiting[-1][0])
-        gap, pieces = size, []
-        while gap and waiting:
-            k = bisect_right(waiting, (gap, 1 << 62, 1 << 62)) - 1
-            if k >= 0:  # the longest that fits
-                n, d, s = waiting.pop(k)
-                pieces.append((d, s, n))
-                gap -= n
-            else:  # cut the shortest
-                n, d, s = waiting.pop(0)
-                pieces.append((d, s, gap))
-                insort(waiting, (n - gap, d, s + gap))
-                gap = 0
-        if not gap:
-            done.append((size, pieces))
-        elif not last:
-            return done, pieces
-        else:
-            done += _laddered(pieces, tiers)
+            rests.append((n % longest, d, whole * longest))
+    waiting = _Waiting(tiers, rests)
+    for at in range(len(tiers) - 1, -1, -1):  # tier by tier; what is routed anew is shorter and waits in this tier or below
+        size = tiers[at]
+        while waiting.lists[at]:
+            gap, pieces = size, []
+            while gap:
+                if found := waiting.longest(gap):
+                    n, d, s = found
+                    pieces.append((d, s, n))
+                    gap -= n
+                elif found := waiting.shortest():  # nothing fits: cut
+                    n, d, s = found
+                    pieces.append((d, s, gap))
+                    waiting.put((n - gap, d, s + gap))
+                    gap = 0
+                else:
+                    break
+            if not gap:
+                done.append((size, pieces))
+            elif not last:
+                return done, pieces
+            else:
+                done += _laddered(pieces, tiers)
     return done, []
 
 

@@ -67,5 +67,13 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_token_store, op2_decontamination, op3_packing, op4_token_counts, op5_jaccard_join, op6_quality_rules, op7_warc, op8_personal_data, op9_sharding, op10_quality_classifier)}
 
 
+#: The one operator whose whole result SQL can express; the others' tests hold them against brute force.
+_WARC = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS owner FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM d LEFT JOIN o USING (payload_digest)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": _WARC}
