@@ -167,6 +167,43 @@ def validate_payload(spark, sf_dir):
     return _versioned(spark, sf_dir).select("event_id", F.array_join(schemas.problems(F.col("payload"), want), ",").alias("problems"))
 
 
+_NESTED = """CASE event_id % 4 WHEN 0 THEN '{"order":{"quantity":5,"note":null},"tags":[]}' WHEN 1 THEN '{"order":{"quantity":"5","note":"a"},"tags":[]}'
+  WHEN 2 THEN '{"order":{"note":"a","junk":1},"tags":{}}' ELSE '{"order":7,"tags":[],"x":1}' END"""
+
+
+@query("E16", sql="SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'type:order.quantity' WHEN 2 THEN 'unknown:order:1,missing:order.quantity,type:tags' ELSE 'unknown:1,type:order' END AS problems FROM events")
+def validate_nested(spark, sf_dir):
+    """What is wrong with payloads whose structs hold structs."""
+    order = T.StructType([T.StructField("quantity", T.LongType()), T.StructField("note", T.StringType())])
+    want = T.StructType([T.StructField("order", order), T.StructField("tags", T.ArrayType(T.StringType()))])
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{_NESTED} AS payload")
+    return rows.select("event_id", F.array_join(schemas.problems(F.col("payload"), want), ",").alias("problems"))
+
+
+@query("E11", sql="""
+SELECT event_id, '{"list":[{"a":' || user_id || ',"b":null},{"a":1,"b":"x"}],"map":{"k":2,"z":' || user_id || '},"user":' || CASE WHEN user_id % 2 = 0 THEN 'null' ELSE '{"a":"' || event_type || '","z":' || user_id || '}' END || '}' AS canonical FROM events""")
+def canonical_nested(spark, sf_dir):
+    """Sorted keys in structs, lists and maps at every depth."""
+    one = lambda b, a: F.struct(F.lit(b).cast("string").alias("b"), a.cast("bigint").alias("a"))
+    user = F.when(F.col("user_id") % 2 == 1, F.struct(F.col("user_id").alias("z"), F.col("event_type").alias("a")))
+    maps = F.create_map(F.lit("z"), F.col("user_id"), F.lit("k"), F.lit(2).cast("bigint"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(user.alias("user"), maps.alias("map"), F.array(one(None, F.col("user_id")), one("x", F.lit(1))).alias("list")).alias("v"))
+    return rows.select("event_id", schemas.canonical_text(F.col("v"), rows.schema["v"].dataType).alias("canonical"))
+
+
+@query("E15", sql="""
+SELECT event_id, '{"by":{"k":{"amount":' || user_id || ',"rush":false}},"lines":[{"amount":' || user_id || ',"rush":false},{"amount":2,"rush":false}],"rush":false}' AS now FROM events""")
+def conform_nested(spark, sf_dir):
+    """A default step through lists and maps: fields that are gone are dropped, new ones defaulted."""
+    old = T.StructType([T.StructField("amount", T.IntegerType()), T.StructField("junk", T.StringType())])
+    new = T.StructType([T.StructField("amount", T.LongType()), T.StructField("rush", T.BooleanType())])
+    shape = lambda t, *more: T.StructType([T.StructField("by", T.MapType(T.StringType(), t)), T.StructField("lines", T.ArrayType(t)), *more])
+    one = lambda n: F.struct(n.cast("int").alias("amount"), F.lit("x").alias("junk"))
+    value = F.struct(F.create_map(F.lit("k"), one(F.col("user_id"))).alias("by"), F.array(one(F.col("user_id")), one(F.lit(2))).alias("lines"))
+    now = schemas.conform(value, shape(old), shape(new, T.StructField("rush", T.BooleanType())), {"rush": False})
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(now).alias("now"))
+
+
 @query("E19", sql="SELECT event_id, CAST('0x' || left(sha256(length(event_type) || ':' || event_type || length(user_id::VARCHAR) || ':' || user_id), 15) AS BIGINT) AS hash FROM events")
 def field_hash(spark, sf_dir):
     """Hashes of length-prefixed fields."""

@@ -173,7 +173,9 @@ def retry_decision(spark, sf_dir):
     return sched.retry_decision(sched.newest_run(r), r).select("task_id", "attempt", "losses", "retried")
 
 
-@query("B19", sql=None)
+@query("B19", sql="""
+SELECT doc_id, left(text, n) AS message, octet_length(encode(left(text, n))) AS size FROM (
+  SELECT doc_id, text, list_max(list_filter(generate_series(least(length(text), 32), least(length(text), 128)), lambda i: octet_length(encode(left(text, i))) <= 128)) AS n FROM documents WHERE text IS NOT NULL)""")
 def failure_text(spark, sf_dir):
     """Failure messages cut at 128 bytes without splitting a character."""
     df = table(spark, sf_dir, "documents").where("text is not null")
