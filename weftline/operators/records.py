@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weftline.operators.scan import ordered_scan
 
 REPLICAS = 3
 #: Ids in one answer to a worker that looks for work.
@@ -115,6 +118,30 @@ def staged_discovery(stages: list[DataFrame], key: str, order: list[str], limit:
     return once.orderBy("stage", *order, key).limit(limit)
 
 
+def discovery_in_room(candidates: DataFrame, key: str, order: list[str], size: str, room: int, limit: int, page: int = 1024) -> DataFrame:
+    """Of candidates in order (order and key tell them apart) those that one claimant takes: at most limit, and each only if its size still fits.
+
+    Pages of candidates that still fit come to the driver, so each page's first is taken; at most
+    limit rows are kept.
+    """
+    place, taken, last = [*order, key], [], None
+    rows = candidates.select(*dict.fromkeys([*place, size]))
+    while len(taken) < limit:
+        fitting = rows.where(F.col(size) <= room)
+        if last is not None:
+            after = F.struct(*place) > F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(place, last, strict=True)))
+            fitting = fitting.where(after)
+        found = fitting.orderBy(*place).limit(page).collect()  # page rows at most
+        for r in found:
+            if len(taken) < limit and r[size] <= room:
+                taken.append((r[key],))
+                room -= r[size]
+        if len(found) < page:
+            break
+        last = [found[-1][c] for c in place]
+    return candidates.sparkSession.createDataFrame(taken, T.StructType([rows.schema[key]]))
+
+
 def steal(df: DataFrame, urgent: Column, limit: int = STEAL_LIMIT) -> DataFrame:
     """The ids that a worker is offered: urgent ones first, then the oldest."""
     return df.withColumn("urgent", urgent).orderBy(F.desc("urgent"), "submitted_ms", "task_id").limit(limit)
@@ -140,6 +167,20 @@ def lasting_drift(beats: DataFrame, keys: list[str], order: str, differs: Column
     return marked.where("_bad").groupBy(*keys, "_island").agg(F.count("*").alias("beats"), F.min(order).alias("from_beat"), F.max(order).alias("to_beat")).where(F.col("beats") >= least).drop("_island")
 
 
+def drift_asks(beats: DataFrame, keys: list[str], at: str, differs: str, persist: int, spacing: int) -> DataFrame:
+    """Heartbeats at which a worker is asked anew: it has differed for persist since it began to, and was not asked within spacing."""
+
+    def step(state: tuple[int | None, int | None], now: int, bad: bool) -> tuple[tuple[int | None, int | None], bool]:
+        since, asked = state
+        if not bad:
+            return (None, asked), False
+        since = now if since is None else since
+        due = now - since >= persist and (asked is None or now - asked >= spacing)
+        return (since, now if due else asked), due
+
+    return ordered_scan(beats, keys, [at], lambda: (None, None), step, [at, differs], "due", T.BooleanType()).where("due").drop("due")
+
+
 def waiting_and_holder(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The waiting and the held generation of each key: the newest task in either state."""
     pick = lambda states: F.max(F.when(F.col("state").isin(*states), F.struct(order, "task_id")))["task_id"]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.ranking import ranked
 from weftline.operators.scan import ordered_scan
 
 # The run states that end a run, and the legal edges between states.
@@ -102,8 +103,8 @@ def requeued(events: DataFrame) -> DataFrame:
     """
     newest = events.groupBy("queue", "task_id").agg(F.max(F.struct("attempt", "at", "expiry_ms")).alias("e"))
     expiry = F.when(F.col("e.attempt") == 1, F.col("e.expiry_ms"))
-    place = F.row_number().over(W.partitionBy("queue").orderBy("e.at", "task_id")).cast("bigint")
-    return newest.select("queue", "task_id", F.col("e.attempt").alias("attempt"), expiry.alias("expiry_ms"), place.alias("place"))
+    rows = newest.select("queue", "task_id", F.col("e.at").alias("_at"), F.col("e.attempt").alias("attempt"), expiry.alias("expiry_ms"))
+    return ranked(rows, ["queue"], ["_at", "task_id"], "place").drop("_at")
 
 
 def taken_queues(subscribed: Column, asked: Column) -> Column:

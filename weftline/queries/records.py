@@ -167,6 +167,30 @@ def drift_watch(spark, sf_dir):
     return rec.lasting_drift(reported(spark, sf_dir), ["holder"], "report_id", F.col("content").isin("error", "view"))
 
 
+@query("D17", sql=with_tables("reported", """
+, b AS (SELECT holder, report_id AS at_, content IN ('error', 'view') AS bad, row_number() OVER (PARTITION BY holder ORDER BY report_id) AS n FROM reported),
+f AS (SELECT DISTINCT holder, 0::BIGINT AS n, NULL::BIGINT AS at_, NULL::BIGINT AS since, NULL::BIGINT AS asked, false AS due FROM b
+  UNION ALL SELECT holder, n, at_, since, CASE WHEN due THEN at_ ELSE asked END, due FROM (
+    SELECT b.holder, b.n, b.at_, CASE WHEN bad THEN coalesce(since, b.at_) END AS since, asked, bad AND b.at_ - coalesce(since, b.at_) >= 24 AND (asked IS NULL OR b.at_ - asked >= 120) AS due
+    FROM f JOIN b ON b.holder = f.holder AND b.n = f.n + 1))
+SELECT holder, at_ AS report_id FROM f WHERE due""").replace(") \n, b AS", "), b AS").replace("WITH reported", "WITH RECURSIVE reported"))
+def drift_asked(spark, sf_dir):
+    """When workers whose word differs for long are asked again, not too often."""
+    beats = reported(spark, sf_dir).select("holder", "report_id", F.col("content").isin("error", "view").alias("differs"))
+    return rec.drift_asks(beats, ["holder"], "report_id", "differs", 24, 120).select("holder", "report_id")
+
+
+@query("D13", sql=with_tables("tasks", """
+, b AS (SELECT task_id, bytes, row_number() OVER (ORDER BY submitted_ms, task_id) AS n FROM tasks),
+f AS (SELECT 0::BIGINT AS n, 0::BIGINT AS found, 50000::BIGINT AS room, NULL::BIGINT AS task_id
+  UNION ALL SELECT min(b.n), f.found + 1, f.room - arg_min(b.bytes, b.n), arg_min(b.task_id, b.n) FROM f JOIN b ON b.n > f.n AND b.bytes <= f.room WHERE f.found < 90 GROUP BY f.found, f.room)
+SELECT task_id FROM f WHERE found > 0""").replace(") \n, b AS", "), b AS").replace("WITH tasks", "WITH RECURSIVE tasks"))
+def discovery_room(spark, sf_dir):
+    """What a claimant takes, oldest first, while its room lasts: a report of top candidates."""
+    df = tasks(spark, sf_dir)
+    return rec.discovery_in_room(df, "task_id", ["submitted_ms"], "bytes", 50_000, 90)
+
+
 @query("D18", "D20", sql=_sql("reported voters", _PLACED + """,
 n AS (SELECT record_key, max(epoch * 1000 + revision) AS v, bool_or(finished) AS finished FROM reported GROUP BY ALL),
 c AS (SELECT record_key, count(*) FILTER (answered) > count(*) - (count(*) // 2 + 1) OR bool_and(NOT is_member OR answered) AS certain FROM p JOIN voters USING (worker) WHERE rank <= 3 GROUP BY record_key)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.outcomes import truncate_bytes
 from weftline.operators import scheduling as sched
+from weftline.operators.ranking import ranked
 from weftline.registry import query
 from weftline.sources.fixtures import NOW_MS, policy, runs, table, tasks, with_tables
 
@@ -51,10 +52,8 @@ def slow_down_hysteresis(spark, sf_dir):
 @query("B5", "B7", sql=with_tables("tasks", f"SELECT task_id, submitted_ms + delay_ms AS due_ms, row_number() OVER (PARTITION BY queue ORDER BY submitted_ms + delay_ms, ticket) AS place FROM tasks WHERE delay_ms IS NOT NULL AND submitted_ms + delay_ms <= {NOW_MS - 10 * DAY}"))
 def delay_release(spark, sf_dir):
     """Delayed tasks that are due, earliest first, with the ticket they get in their queue."""
-    from pyspark.sql import Window as W
-
-    due = sched.due_delayed(tasks(spark, sf_dir), NOW_MS - 10 * DAY)
-    return due.select("task_id", "due_ms", F.row_number().over(W.partitionBy("queue").orderBy("due_ms", "ticket")).cast("bigint").alias("place"))
+    due = sched.due_delayed(tasks(spark, sf_dir), NOW_MS - 10 * DAY).select("queue", "task_id", "due_ms", "ticket")
+    return ranked(due, ["queue"], ["due_ms", "ticket"], "place").select("task_id", "due_ms", "place")
 
 
 @query("B6", sql=with_tables("runs", f"SELECT task_id, submitted_ms + expiry_ms AS due_ms FROM tasks t WHERE expiry_ms IS NOT NULL AND submitted_ms + expiry_ms <= {NOW_MS} AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.task_id = t.task_id AND r.state IN ('claimed', 'running', 'succeeded'))"))
