@@ -138,3 +138,9 @@ def test_given_sections_leave_tokens_outside(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_store.token_store(none).count() == packing.pack(none).count() == token_counts.count_tokens(none).count() == 0
+
+
+def test_other_tokenizer_files_are_refused():
+    other = tokens.default_path().replace("word_bpe_49k", "byte_bpe_50k")
+    with pytest.raises(ValueError, match="another way"):
+        tokens.encoder(other)

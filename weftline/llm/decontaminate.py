@@ -5,6 +5,10 @@ word edits. It is cut into k + 1 pieces; whatever k edits do, one piece stays wh
 passage within the budget holds an exact piece hit. Pieces are found with one automaton over
 the whole text, and Myers's bit-parallel distance verifies the window around each hit.
 
+An item of fewer than five words has no edit to spare and is found wherever its words stand in a
+row, one of a single word in every document that has it: such pairs are the result asked for, and
+whoever doesn't want them leaves short items out of the benchmark.
+
 Items are sent to the workers in blocks of bounded size, one pass over the documents for each
 block, so a benchmark of any size is matched exactly.
 

@@ -27,6 +27,9 @@ _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 SAFE = re.compile(f"[\t-\r\x20-\x7e{_LATIN}]*")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
+#: A text that tells tokenizer files of another normalizer or pre-tokenizer apart.
+PROBE = "It's 2024: they'LL pay $1,234.50 (or 90%)!!  Ünï cödé\n\n\tsnake_case a--b x@y.z  'quoted' DON'T ...end "
+
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -49,7 +52,11 @@ def default_path() -> str:
 def encoder(path: str) -> "PieceEncoder":
     """This process's encoder for a tokenizer file."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        found = PieceEncoder(path)
+        ids, _ = found.encode([PROBE], None)
+        if ids.tolist() != found.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path} cuts texts in another way than this encoder")
+        _encoders[path] = found
     return _encoders[path]
 
 
