@@ -167,3 +167,31 @@ def test_serializers_validate():
     assert registry.of(Order).name == "dataclass" and registry.of(str).encode("é") == "é".encode()
     with pytest.raises(TypeError):
         registry.of(int)
+
+
+def test_reducers_are_checked_when_declared():
+    def fold(item: int, previous: float) -> float:
+        return previous + item
+
+    def other(item: int, previous: int) -> str:
+        return str(item)
+
+    assert not bodies.reducer("double")(fold).in_tree and bodies.reducer("bigint", associative=True)(plus).in_tree
+    bad = [(other, {}), (fold, {"associative": True}), (plus, {"associative": True, "merge": plus}), (fold, {"tree": True}), (fold, {"merge": plus}), (plus, {"ephemeral": True}), (add, {}), (lambda x: x, {})]
+    for function, options in bad:
+        with pytest.raises(TypeError):
+            bodies.reducer("bigint", **options)(function)
+
+
+def plus(item: int, previous: int) -> int:
+    return item + previous
+
+
+def test_bodies_that_may_not_be_retried(spark):
+    def fails(x):
+        raise ValueError("no")
+
+    got = bodies.run(spark.range(1), bodies.task("bigint", retries=3, retriable=False, name="once")(fails), "id").first()["outcome"]
+    assert not got["ok"] and got["attempts"] == 1 and bodies.task("bigint", name="once")(fails).title == "once"
+    with pytest.raises(ValueError):
+        bodies.task("bigint", timeout_s=-1)(fails)

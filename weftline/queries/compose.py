@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from weftline.functions import bodies, outcomes
@@ -10,6 +12,10 @@ from weftline.registry import query
 from weftline.sources.fixtures import NOW_MS, members, runs, table, tasks, with_tables
 
 
+def _less_thrice(item: int, previous: int) -> int:
+    return int(math.fmod(item - previous * 3, 1000003))
+
+
 def _flaky(value: int) -> int:
     if value % 5 == 0:
         raise ValueError("five")
@@ -218,6 +224,13 @@ def reduce_chain(spark, sf_dir):
     return reduce.chain(members(spark, sf_dir), ["composite_id"], ["idx"], F.col("value"), lambda a, x: (x - a * 3) % 1000003)
 
 
+@query("A13", "A17", "F2", sql=with_tables("members", """
+SELECT composite_id, count(*) AS items, list_reduce(list(value ORDER BY idx), lambda a, x: (x - a * 3) % 1000003) AS result FROM members GROUP BY composite_id"""))
+def reduce_declared(spark, sf_dir):
+    """A declared reducer of Python over each composite's values."""
+    return bodies.reduce(members(spark, sf_dir), ["composite_id"], "idx", "value", bodies.reducer("bigint")(_less_thrice))
+
+
 @query("A14", "A16", sql=with_tables("members", """
 SELECT composite_id, count(*) AS items, ceil(count(*) / 4.0)::BIGINT AS chunks, 2 * ceil(count(*) / 4.0)::BIGINT - 1 AS steps, string_agg(value::VARCHAR, '' ORDER BY idx) AS result FROM members GROUP BY composite_id"""))
 def reduce_tree_concat(spark, sf_dir):
