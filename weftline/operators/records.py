@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.ranking import running
 from weftline.operators.scan import ordered_scan
 
 REPLICAS = 3
@@ -162,8 +163,7 @@ def set_digest(df: DataFrame, keys: list[str], member: str) -> DataFrame:
 
 def lasting_drift(beats: DataFrame, keys: list[str], order: str, differs: Column, least: int = 2) -> DataFrame:
     """Stretches of consecutive heartbeats that disagree, of at least so many."""
-    w = W.partitionBy(*keys).orderBy(order)
-    marked = beats.withColumn("_bad", differs).withColumn("_island", F.sum((~F.col("_bad")).cast("bigint")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    marked = running(beats.withColumn("_bad", differs), keys, [order], (~F.col("_bad")).cast("bigint"), "sum", "_island")
     return marked.where("_bad").groupBy(*keys, "_island").agg(F.count("*").alias("beats"), F.min(order).alias("from_beat"), F.max(order).alias("to_beat")).where(F.col("beats") >= least).drop("_island")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.ranking import ranked
+from weftline.operators.ranking import ranked, running
 from weftline.operators.scan import ordered_scan
 
 # The run states that end a run, and the legal edges between states.
@@ -54,8 +54,7 @@ def budget_in_order(df: DataFrame, keys: list[str], order: list[str], size: str,
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], level: Column, soft: Column) -> DataFrame:
     """slow_down: raised above soft, cleared at CLEAR_PERCENT of it, else as before."""
     mark = F.when(level > soft, 1).when(100 * level <= CLEAR_PERCENT * soft, 0)
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("slow_down", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)) == 1)
+    return running(df, keys, order, mark, "last", "_mark").withColumn("slow_down", F.coalesce("_mark", F.lit(0)) == 1).drop("_mark")
 
 
 def due_delayed(df: DataFrame, now: int) -> DataFrame:
