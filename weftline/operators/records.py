@@ -181,6 +181,22 @@ def drift_asks(beats: DataFrame, keys: list[str], at: str, differs: str, persist
     return ordered_scan(beats, keys, [at], lambda: (None, None), step, [at, differs], "due", T.BooleanType()).where("due").drop("due")
 
 
+def rebuild(reports: DataFrame, workers: DataFrame, key: str, holder: str, version: list[str], order: str) -> DataFrame:
+    """A new leader's records from what holders report (finished): one pipeline of deduplication, newest version, certainty and legality.
+
+    Of each holder the newest word on a record counts, of equal versions the later report. A record
+    is finished if its newest version is; one whose older version was finished and whose newest
+    isn't has gone back illegally. Certainty is that of the workers on which the record is placed.
+    """
+    word = F.max(F.struct(*version, order, "finished")).alias("w")
+    words = reports.groupBy(key, holder).agg(word).select(key, F.struct(*(F.col(f"w.{c}").alias(c) for c in version)).alias("v"), "w.finished")
+    folded = words.groupBy(key, "v").agg(F.count("*").alias("holders"), F.bool_or("finished").alias("finished"))
+    newest = folded.groupBy(key).agg(F.max(F.struct("v", "holders", "finished")).alias("n"), F.count_if("finished").alias("ended"))
+    state = newest.select(key, *(F.col(f"n.v.{c}").alias(c) for c in version), F.col("n.holders").alias("holders"), F.col("n.finished").alias("finished"), (~F.col("n.finished") & (F.col("ended") > 0)).alias("illegal"))
+    sure = certain(placement(state.select(key), key, workers), workers, key)
+    return state.join(sure.select(key, "certain"), key)
+
+
 def waiting_and_holder(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The waiting and the held generation of each key: the newest task in either state."""
     pick = lambda states: F.max(F.when(F.col("state").isin(*states), F.struct(order, "task_id")))["task_id"]

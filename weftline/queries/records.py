@@ -191,6 +191,17 @@ def discovery_room(spark, sf_dir):
     return rec.discovery_in_room(df, "task_id", ["submitted_ms"], "bytes", 50_000, 90)
 
 
+@query("D18", "D5", "B15", sql=_sql("reported voters", _PLACED + """,
+w AS (SELECT record_key, holder, max(epoch * 1000 + revision) AS v, arg_max(finished, (epoch * 1000 + revision) * 1000000000000 + report_id) AS finished FROM reported GROUP BY record_key, holder),
+n AS (SELECT *, max(v) OVER (PARTITION BY record_key) AS top FROM w),
+s AS (SELECT record_key, top // 1000 AS epoch, top % 1000 AS revision, count(*) FILTER (v = top) AS holders, bool_or(finished AND v = top) AS finished, bool_or(finished) AND NOT bool_or(finished AND v = top) AS illegal FROM n GROUP BY record_key, top),
+c AS (SELECT record_key, count(*) FILTER (answered) > count(*) - (count(*) // 2 + 1) OR bool_and(NOT is_member OR answered) AS certain FROM p JOIN voters USING (worker) WHERE rank <= 3 GROUP BY record_key)
+SELECT s.*, certain FROM s JOIN c USING (record_key)"""))
+def rebuild_records(spark, sf_dir):
+    """A new leader's records: holders' newest words, the newest version, certainty, and what has gone back illegally."""
+    return rec.rebuild(reported(spark, sf_dir), voters(spark, sf_dir).drop("generation"), "record_key", "holder", ["epoch", "revision"], "report_id")
+
+
 @query("D18", "D20", sql=_sql("reported voters", _PLACED + """,
 n AS (SELECT record_key, max(epoch * 1000 + revision) AS v, bool_or(finished) AS finished FROM reported GROUP BY ALL),
 c AS (SELECT record_key, count(*) FILTER (answered) > count(*) - (count(*) // 2 + 1) OR bool_and(NOT is_member OR answered) AS certain FROM p JOIN voters USING (worker) WHERE rank <= 3 GROUP BY record_key)
