@@ -85,6 +85,13 @@ def moved(keys: DataFrame, key: str, before: DataFrame, after: DataFrame) -> Dat
     return both.groupBy(key).agg(F.count_if(F.col("_b").isNull()).alias("lost"), F.count_if(F.col("_a").isNull()).alias("gained")).where("lost + gained > 0")
 
 
+def repair_next(moved_keys: DataFrame, in_flight: DataFrame, key: str, most: int) -> DataFrame:
+    """The moved keys to repair next, in order: as many as leave at most so many in flight."""
+    busy = in_flight.select(key).distinct()
+    room = max(0, most - busy.limit(most).count())
+    return moved_keys.join(busy, key, "left_anti").orderBy(key).limit(room).select(key)
+
+
 def joint_quorum(placed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Whether a write is stored by a quorum of every placement that it must satisfy; placed: keys, side, worker."""
     joined = placed.join(stored.withColumn("_s", F.lit(1)), [*keys, "worker"], "left")

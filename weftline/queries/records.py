@@ -90,6 +90,19 @@ def placement_moved(spark, sf_dir):
     return rec.moved(_keys(spark, sf_dir), "record_key", v, v.where("worker <> 3"))
 
 
+@query("D7", sql=_sql("reported voters", _PLACED + f""",
+q AS (SELECT record_key, worker, row_number() OVER (PARTITION BY record_key ORDER BY xor({_HASH.format('record_key')}, {_HASH.format('worker')}), worker) AS rank FROM k CROSS JOIN (SELECT * FROM voters WHERE worker <> 3)),
+b AS (SELECT coalesce(p.record_key, q.record_key) AS record_key, p.worker AS a, q.worker AS b FROM (SELECT * FROM p WHERE rank <= 3) p FULL OUTER JOIN (SELECT * FROM q WHERE rank <= 3) q ON p.record_key = q.record_key AND p.worker = q.worker),
+m AS (SELECT record_key, count(*) FILTER (b IS NULL) AS lost, count(*) FILTER (a IS NULL) AS gained FROM b GROUP BY record_key HAVING count(*) FILTER (b IS NULL) + count(*) FILTER (a IS NULL) > 0),
+i AS (SELECT DISTINCT record_key FROM reported WHERE finished AND epoch = 2 AND revision > 90)
+SELECT record_key FROM m WHERE record_key NOT IN (SELECT record_key FROM i) ORDER BY record_key LIMIT greatest(0, 100 - (SELECT count(*) FROM i))"""))
+def repair_batch(spark, sf_dir):
+    """The next records to repair after a voter left, with at most 100 in flight."""
+    v = voters(spark, sf_dir)
+    in_flight = reported(spark, sf_dir).where("finished and epoch = 2 and revision > 90")
+    return rec.repair_next(rec.moved(_keys(spark, sf_dir), "record_key", v, v.where("worker <> 3")), in_flight, "record_key", 100)
+
+
 @query("D8", sql=_sql("reported voters", _PLACED + f""",
 q AS (SELECT record_key, worker, row_number() OVER (PARTITION BY record_key ORDER BY xor({_HASH.format('record_key')}, {_HASH.format('worker')}), worker) AS rank FROM k CROSS JOIN (SELECT * FROM voters WHERE worker <> 3)),
 u AS (SELECT record_key, 0 AS side, worker FROM p WHERE rank <= 3 UNION ALL SELECT record_key, 1, worker FROM q WHERE rank <= 3),
