@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, jaccard_join
+from weftline.llm import common, decontaminate, jaccard_join
 from weftline.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +137,24 @@ def test_keep_one_keeps_the_least_of_each_group(spark):
     assert jaccard_join.keep_one(twice, 5, 80, 100).count() == len(got)
 
 
+def test_copies_in_other_tasks_are_asked_about_once(spark, monkeypatch):
+    seen, cells = [], jaccard_join.cells
+    monkeypatch.setattr(jaccard_join, "cells", lambda texts, *a: seen.append(texts.count()) or cells(texts, *a))
+    texts = corpus(5) * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    found = jaccard_join.similarity_classes(df, 4, 85, 100).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found if r["n_shingles"]) == [x for x in brute(texts, 4, 85, 100) if x[1]]
+    assert seen[0] <= len({shingles(t, 4) for t in texts}) + 10
+
+
+def test_a_full_key_filter_loses_no_row(spark, monkeypatch):
+    texts = corpus(6) * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(common.KeyFilter, "_slot", lambda self, key: F.pmod(key, F.lit(8).cast("bigint")))
+    found = jaccard_join.similarity_classes(df, 4, 85, 100).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found if r["n_shingles"]) == [x for x in brute(texts, 4, 85, 100) if x[1]]
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (None, None)], "doc_id bigint, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard_join.similarity_classes(df, 4, 85, 100).collect())
