@@ -155,6 +155,16 @@ def test_a_full_key_filter_loses_no_row(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found if r["n_shingles"]) == [x for x in brute(texts, 4, 85, 100) if x[1]]
 
 
+def test_dropped_copies_are_not_joined_again(spark, monkeypatch):
+    sizes, sized = [], jaccard_join.sized
+    monkeypatch.setattr(jaccard_join, "sized", lambda df: sizes.append(df.count()) or sized(df))
+    texts = corpus(8) * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r["doc_id"] for r in jaccard_join.keep_one(df, 5, 80, 100).collect())
+    assert got == sorted({root for _, _, root in brute(texts, 5, 80, 100)})
+    assert sizes[1] < len(texts) // 6  # what an anti join must know: few that pass the filter
+
+
 def test_nulls_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (None, None)], "doc_id bigint, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard_join.similarity_classes(df, 4, 85, 100).collect())
